@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at once; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +108,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of base and of its inverse modulo 2^64; kept, as every slice needs them."""
+    if base not in POWERS or len(POWERS[base][0]) <= n:
+        made = []
+        for x in (base, pow(base, -1, 2**64)):
+            out = np.full(max(n, SLICE_BYTES) + 1, x, np.uint64)
+            out[0] = 1
+            made.append(np.cumprod(out, out=out))
+        if n > 2 * SLICE_BYTES:
+            return made[0], made[1]
+        POWERS[base] = (made[0], made[1])
+    return POWERS[base]
+
+
 class Rolling:
     """Hashes of any substrings of one flat buffer, each in constant time: polynomials modulo 2^64.
 
@@ -120,13 +137,9 @@ class Rolling:
         table = np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
         n = len(data)
         base = np.uint64(pow(self.BASE, 2 * seed - 1, 2**64))
-        self.power = np.ones(n + 1, np.uint64)
-        np.cumprod(np.full(n, base, np.uint64), out=self.power[1:])
-        inverse = np.uint64(pow(int(base), -1, 2**64))
-        self.undo = np.ones(n + 1, np.uint64)
-        np.cumprod(np.full(n, inverse, np.uint64), out=self.undo[1:])
+        self.power, self.undo = powers(int(base), n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * self.power[:-1], out=self.sums[1:])
+        np.cumsum(table[data] * self.power[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))

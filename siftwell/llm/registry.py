@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import compression_quality, language_id, line_rules, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
+    "op4_compression_quality": compression_quality.op4_compression_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_line_rules": line_rules.op9_line_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_rules": line_rules.BASE_SQL,
+}

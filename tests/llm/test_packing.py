@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -12,10 +13,15 @@ TEXTS = [
 ]
 
 
-def expected(text):
+@functools.cache
+def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
+    return t
+
+
+def expected(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
 def check(rows, texts):
