@@ -36,16 +36,16 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def forget(df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
-    spark, jvm = df.sparkSession, df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)) or shared_dir(spark).removeprefix("file://") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def worker_path(spark: SparkSession) -> None:
@@ -80,14 +80,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` text bytes each (one row at least)."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `most` text bytes (one row at least) and `rows` rows each."""
     import pyarrow.compute as pc
 
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(size, size[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(size, size[i] + most, "right")) - 1))
         yield i, j
         i = j
 

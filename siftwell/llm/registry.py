@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, language_id, line_rules, packing, toxicity
+from . import compression_quality, dart_minhash, language_id, line_rules, packing, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_dart_minhash": dart_minhash.op1_dart_minhash,
     "op2_packing": packing.op2_packing,
+    "op3_url_rules": url_rules.op3_url_rules,
     "op4_compression_quality": compression_quality.op4_compression_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": language_id.op8_language_id,
