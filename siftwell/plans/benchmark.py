@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.numerics import medians
 from siftwell.operators import clusters, qc
-from siftwell.plans.cutoff_plan import build_plan
+from siftwell.plans import cutoff_plan
 from siftwell.plans.detection import Detected, detect
 from siftwell.plans.quality import options
 from siftwell.schema import ADAPTIVE, STRATEGIES, Bounds, Columns, Detection, check_cells, choice, mito_cutoff, scalar
+from siftwell.storage import stored
 
 WEIGHTS = ("retention", "mito", "sample_balance", "group_balance")
 # Weights of the scoring profiles.
@@ -96,12 +97,14 @@ class Comparison:
 def strategy_plans(cells: DataFrame, cols: Columns, strategies: list[Strategy], params: Detection, fraction: float, check: bool) -> DataFrame:
     """One row for each strategy and sample. Detections with equal parameters are one."""
     found: dict[Detection, Detected] = {}
+    groups = stored(cutoff_plan.sample_groups(cells, cols, check), "groups")  # one row a sample
     out = None
     for k, s in enumerate(strategies):
         p = options(params, s.changes)
         if s.max_mito == ADAPTIVE and p not in found:
             found[p] = detect(cells, cols, p, check=False)
-        rows = build_plan(cells, cols, s.max_mito, s.cutoff_strategy, fraction, p, detected=found.get(p), check=check and k == 0).samples
+            found[p].summary = stored(found[p].summary, "summary")  # one row a sample
+        rows = cutoff_plan.build_plan(cells, cols, s.max_mito, s.cutoff_strategy, fraction, p, detected=found.get(p), groups_of=groups, check=check and k == 0).samples
         own = s.max_mito == ADAPTIVE
         rows = rows.withColumns({
             "strategy": F.lit(s.name), "ord": F.lit(k), "mode": F.lit(s.mode), "max_mito_input": F.lit(str(s.max_mito)),

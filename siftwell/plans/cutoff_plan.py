@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import support
 from siftwell.plans.detection import Detected, detect
 from siftwell.schema import ADAPTIVE, STRATEGIES, Columns, Detection, choice, mito_cutoff, open_unit
+from siftwell.storage import stored
 
 
 @dataclass
@@ -58,16 +59,17 @@ def level_cutoff(samples: DataFrame, column: str, strategy: str, fraction: float
     return support.resolved(samples, column, fraction).select(F.col("global_cutoff").alias("c"))
 
 
-def build_plan(cells: DataFrame, columns: Columns | None = None, max_mito: float | str = ADAPTIVE, strategy: str = "consensus", fraction: float = 0.5, params: Detection | None = None, use_recommended: bool = True, cutoff_quantile: float = 0.25, detected: Detected | None = None, check: bool = True) -> Plan:
-    """detected: a detection with the same parameters that is at hand already. cutoff_quantile is checked, and unused."""
+def build_plan(cells: DataFrame, columns: Columns | None = None, max_mito: float | str = ADAPTIVE, strategy: str = "consensus", fraction: float = 0.5, params: Detection | None = None, use_recommended: bool = True, cutoff_quantile: float = 0.25, detected: Detected | None = None, groups_of: DataFrame | None = None, check: bool = True) -> Plan:
+    """detected, groups_of: a detection with the same parameters and the samples' groups, if they are at hand already. cutoff_quantile is checked, and unused."""
     cols = columns or Columns()
     choice(strategy, "cutoff_strategy", STRATEGIES)
     open_unit(fraction, "cutoff_support_fraction")
     open_unit(cutoff_quantile, "cutoff_quantile")
-    base = sample_groups(cells, cols, check).drop("n")
+    base = (groups_of if groups_of is not None else sample_groups(cells, cols, check)).drop("n")
     if max_mito == ADAPTIVE:
         detected = detected or detect(cells, cols, params, check=check)
-        rows = base.join(detected.summary.withColumnRenamed("sample", "sample_id"), "sample_id", "left")
+        # one row a sample: written once, as several steps read it
+        rows = stored(base.join(detected.summary.withColumnRenamed("sample", "sample_id"), "sample_id", "left"), "samples")
         if check and rows.where("detected_cutoff is null").limit(1).count():
             raise ValueError("a sample has no detected cutoff")
         # recommended cutoffs apply if any sample has one
@@ -104,4 +106,5 @@ def build_plan(cells: DataFrame, columns: Columns | None = None, max_mito: float
         "group_by": F.lit(cols.group).cast("string"), "supports_final_cutoff": F.col("sample_cutoff") >= F.col("final_cutoff"),
     })
     groups = found.select("group_id", F.col("global_cutoff").alias("group_cutoff"), "sample_count", "support_count", "support_fraction", "required_support", "global_cutoff", "n_supporting_samples", "n_total_samples", F.lit(strategy).alias("strategy"), F.col("group_id").alias("group"))
+    rows = stored(rows, "plan")
     return Plan(rows, groups, strategy, level, source, cols, detected)

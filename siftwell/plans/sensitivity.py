@@ -17,6 +17,7 @@ from siftwell.operators import cutoffs, losstest, profile
 from siftwell.plans.detection import with_support
 from siftwell.schema import LOSS_TESTS, SELECTIONS, Columns, Detection, check_cells, choice
 from siftwell.sources.tables import reference_for
+from siftwell.storage import stored
 
 FIRST = ["sample", "parameter_id", "bin_width", "alpha", "min_drop_fraction", "loss_test", "sample_cutoff_method", "detected_cutoff", "cutoff_source", "retained_cells_at_cutoff", "retention_fraction_at_cutoff", "global_cutoff"]
 
@@ -38,18 +39,18 @@ def sweep(cells: DataFrame, columns: Columns | None = None, bin_width: tuple[flo
     spark = cells.sparkSession
     ref = reference_for(base.species, base.tissue, base.reference_cutoff)
     some = cells.select(F.col(cols.sample).cast("string").alias("sample"), F.col(cols.mito).alias("m"))
-    raw = N.quantile8(some, "sample", "m", base.fallback_quantile).persist() if base.fallback == "quantile" else None  # one row a sample
+    raw = stored(N.quantile8(some, "sample", "m", base.fallback_quantile), "quantiles") if base.fallback == "quantile" else None  # one row a sample
     na, nm, nb, nl = len(alpha), len(min_drop_fraction), len(bin_width), len(loss_test)
     flags = spark.createDataFrame([(float(a), float(m), i) for i, (m, a) in enumerate(itertools.product(min_drop_fraction, alpha))], "alpha double, min_drop_fraction double, k int")
     out = None
     for ib, w in enumerate(bin_width):
         p = replace(base, bin_width=w)
-        prof = profile.profile(cells, cols, p).persist()  # samples x grid rows
+        prof = stored(profile.profile(cells, cols, p), "profile")  # samples x grid rows
         losses = profile.interval_losses(prof, p)
         back = raw.select("sample", N.snap(F.col("q"), w, p.min_cut, p.max_cut).alias("fallback_cutoff")) if raw is not None else None
         for il, test in enumerate(loss_test):
             p = replace(p, loss_test=test)
-            judged = losstest.judged(losses, p).drop("is_significant", "passes_min_drop_fraction", "passes_candidate_filters").persist()  # as many
+            judged = stored(losstest.judged(losses, p).drop("is_significant", "passes_min_drop_fraction", "passes_candidate_filters"), "judged")  # as many
             every = judged.crossJoin(F.broadcast(flags))  # a few parameter rows
             ok = F.col("passes_min_drop_cells") & F.col("passes_min_cells_after") & F.col("passes_min_retention_after") & (F.col("interval_loss_fraction") >= F.col("min_drop_fraction"))
             sig = ok if test == "threshold_only" else ok & F.coalesce(F.col("p_adj") <= F.col("alpha"), F.lit(False))

@@ -370,6 +370,11 @@ def split_summary(spark, sf):
 
 # -- comparison of strategies -------------------------------------------------------------------------------
 
+def sql_scaled(x: str, higher: bool) -> str:
+    low, high = f"min({x}) over ()", f"max({x}) over ()"
+    return f"case when {low} = {high} then 1 else round(({f'{x} - {low}' if higher else f'{high} - {x}'}) / ({high} - {low}), 4) end"
+
+
 PANEL = [benchmark.Strategy("fixed_5", max_mito=0.05), benchmark.Strategy("fixed_20", max_mito=0.2), benchmark.Strategy("adaptive_largest_drop", changes={"selection": "largest_drop"}), benchmark.Strategy("adaptive_strictest", cutoff_strategy="strictest"), benchmark.Strategy("adaptive_groupwise", cutoff_strategy="groupwise")]
 PANEL_SQL = GROUPED + f""", cuts as (select 0 as ord, 'fixed_5' as strategy, sample, 0.05 as c from plan union all select 1, 'fixed_20', sample, 0.2 from plan
 union all select 2, 'adaptive_largest_drop', sample, global_cutoff from plan, {sql_support('plan', 'recommended', 0.5)} union all select 3, 'adaptive_strictest', sample, (select min(recommended) from plan) from plan
@@ -379,8 +384,7 @@ rs as (select ord, strategy, sample as level_id, count(*) as before_cells, count
 rg as (select ord, strategy, grp as level_id, count(*) as before_cells, count(*) filter (k) as after_cells, round(count(*) filter (k) / count(*)::double, 4) as retention_rate from kept group by all),
 bs as (select a.ord, a.strategy, round(median(m) filter (k), 9) as median_mito_after, count(*) as total_cells_before, count(*) filter (k) as total_cells_after, round(count(*) filter (k) / count(*)::double, 4) as retention_rate,
   (select stddev_samp(retention_rate) / avg(retention_rate) from rs where rs.ord = a.ord) as scv, (select stddev_samp(retention_rate) / avg(retention_rate) from rg where rg.ord = a.ord) as gcv from kept a group by all),
-sc as (select *, round((retention_rate - min(retention_rate) over ()) / (max(retention_rate) over () - min(retention_rate) over ()), 4) as retention_score, round((max(median_mito_after) over () - median_mito_after) / (max(median_mito_after) over () - min(median_mito_after) over ()), 4) as mito_score,
-  round((max(scv) over () - scv) / (max(scv) over () - min(scv) over ()), 4) as sample_balance_score, round((max(gcv) over () - gcv) / (max(gcv) over () - min(gcv) over ()), 4) as group_balance_score from bs),
+sc as (select *, {sql_scaled("retention_rate", True)} as retention_score, {sql_scaled("median_mito_after", False)} as mito_score, {sql_scaled("scv", False)} as sample_balance_score, {sql_scaled("gcv", False)} as group_balance_score from bs),
 so as (select *, round(0.35 * retention_score + 0.25 * mito_score + 0.2 * sample_balance_score + 0.2 * group_balance_score, 4) as overall_score from sc)"""
 
 
