@@ -8,7 +8,7 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Texts with the same words become one representative. Bands of coordinates make buckets. Inside a bucket, members come in
 a pseudo-random order; each is compared by whole signatures with the leaders before it, proposes those that may be similar
-as partners (the best of each group of leaders), and leads too unless one is certainly similar. Large buckets are dealt out in runs, whose leaders meet in larger runs, until
+as partners (the best two of each group of leaders), and leads too unless one is certainly similar. Large buckets are dealt out in runs, whose leaders meet in larger runs, until
 each bucket had one. Proposed pairs are verified by exact weighted Jaccard over the texts, and connected components over
 the verified links are the classes.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, blanks, flat, materialise, mix64, read, slices, words_of, worker_path
+from .common import LOWER, Rolling, blanks, flat, materialise, mix64, read, slices, tidy, words_of, worker_path
 from .components import components
 
 
@@ -43,6 +43,8 @@ class Params:
     #: about three and two and a half standard errors.
     proposed: float = 0.725
     certain: float = 0.86
+    #: Leaders that a row proposes of each group of similar ones.
+    partners: int = 2
     #: Rows of a bucket that one run handles at first; each level takes eight times as many.
     run: int = 256
 
@@ -182,6 +184,7 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
                     ],
                     names=["doc_id", "w1", "w2", "bands", "marks"],
                 )
+        tidy()
 
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     return materialise(rows.mapInArrow(run, f"doc_id {kind}, w1 long, w2 long, bands array<long>, marks binary"), "signed")
@@ -190,8 +193,8 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
 def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of one run, in order, against the leaders so far (in state). Gives proposed pairs (row, leader's id) and which rows lead.
 
-    Leaders that certain links join, directly or through a row, count as one group: a row proposes the best leader of each
-    group that may be similar, so the partners of a row are as many as the groups around it, not as their members.
+    Leaders that links of the similarity by estimate join, directly or through a row, count as one group: a row proposes the
+    best leaders of each group that may be similar, so its partners follow the groups around it, not their members.
     """
     if state.get("of") != of:
         state.update(of=of, n=0, ids=np.zeros(16, np.int64), marks=np.zeros((16, marks.shape[1]), marks.dtype))
@@ -223,10 +226,10 @@ def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarra
         todo = todo[k + 1 :]
         against(todo, n, n + 1)
     row, lead, same = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    group, sure = np.arange(state["n"]), same >= p.certain
+    group, sure = np.arange(state["n"]), same >= p.similarity
     number = np.full(len(ids), -1)
     number[leads] = np.arange(state["n"] - leads.sum(), state["n"])
-    while True:  # least label over certain links
+    while True:  # least label over these links
         before = group.copy()
         label = np.full(len(ids), state["n"])
         label[leads] = group[number[leads]]
@@ -237,7 +240,9 @@ def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarra
         if (group == before).all():
             break
     order = np.lexsort((-same, group[lead], row))
-    first = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(group[lead[order]]) != 0))[: len(order)]]
+    new = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (np.diff(group[lead[order]]) != 0))[: len(order)])
+    place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+    first = order[place < p.partners]
     return row[first], state["ids"][lead[first]], leads
 
 
@@ -261,6 +266,7 @@ def led(members: DataFrame, p: Params) -> DataFrame:
                 out.append((bucket[np.append(s + row, heads)], ids[np.append(s + row, heads)], np.append(leader, heads * 0), np.append(row * 0, heads * 0 + 1).astype(bool)))
             bucket, a, b, alone = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b, mask=alone)], names=["bucket", "a", "b"])
+        tidy()
 
     order = F.xxhash64("bucket", "doc_id")
     dealt = members.withColumn("__sw_o", order).repartition("bucket", "run").sortWithinPartitions("bucket", "run", "__sw_o").select("bucket", "run", "doc_id", "marks")
@@ -304,6 +310,7 @@ def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
         for ta, tb in batches:
             parts = [jaccard(ta.slice(i, j - i), tb.slice(i, j - i), p) for i, j in slices(ta, 1 << 20, 5000)]
             yield pa.array(np.concatenate(parts or [np.zeros(0)]), pa.float64())
+        tidy()
 
     return both.select("a", "b", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= p.similarity)
 
