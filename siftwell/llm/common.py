@@ -109,20 +109,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bases whose powers a worker keeps, each at a slice's length; workers live on from stage to stage.
+KEPT_BASES = 2
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n + 1 powers of base and of its inverse modulo 2^64; kept, as every slice needs them."""
-    if base not in POWERS or len(POWERS[base][0]) <= n:
-        made = []
-        for x in (base, pow(base, -1, 2**64)):
-            out = np.full(max(n, SLICE_BYTES) + 1, x, np.uint64)
-            out[0] = 1
-            made.append(np.cumprod(out, out=out))
-        if n > 2 * SLICE_BYTES:
-            return made[0], made[1]
+    """At least n + 1 powers of base and of its inverse modulo 2^64."""
+    if base in POWERS and len(POWERS[base][0]) > n:
+        return POWERS[base]
+    keep = n <= SLICE_BYTES and len(POWERS) < KEPT_BASES
+    made = []
+    for x in (base, pow(base, -1, 2**64)):
+        out = np.full((SLICE_BYTES if keep else n) + 1, x, np.uint64)
+        out[0] = 1
+        made.append(np.cumprod(out, out=out))
+    if keep:
         POWERS[base] = (made[0], made[1])
-    return POWERS[base]
+    return made[0], made[1]
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that Spark keeps for later stages shall not hold it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 class Rolling:

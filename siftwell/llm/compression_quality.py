@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_fold, labelled_sample, read, slices, worker_path
+from .common import flat, in_fold, labelled_sample, read, slices, tidy, worker_path
 
 
 @dataclass
@@ -151,6 +151,7 @@ def quality(docs: DataFrame, model: Model | None, column: str = "score") -> Data
         m = shared.value
         for texts in batches:
             yield pa.array(np.concatenate([m.score(*flat(texts.slice(i, j - i))) for i, j in slices(texts)] or [np.zeros(0)]), pa.float64())
+        tidy()
 
     return docs.withColumn(column, run("text"))
 

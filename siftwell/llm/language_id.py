@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, in_fold, labelled_sample, read, slices, worker_path
+from .common import LOWER, flat, in_fold, labelled_sample, read, slices, tidy, worker_path
 
 NONE = "und"
 
@@ -180,6 +180,7 @@ def languages(docs: DataFrame, model: Model | None) -> DataFrame:
             parts = [m.predict(*flat(texts.slice(i, j - i))) for i, j in slices(texts)]
             best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0))
             yield pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), pa.array(score < m.threshold)], ["lang_pred", "score", "rejected"])
+        tidy()
 
     return docs.withColumn("language", run("text"))
 

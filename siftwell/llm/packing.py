@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, materialise, slices, worker_path
+from .common import flat, materialise, slices, tidy, worker_path
 
 SEQUENCE = 2048
 END = 1
@@ -102,6 +102,8 @@ def tokenised(docs: DataFrame, end: int = END) -> DataFrame:
                 before = pa.array(total + stop - counts1)
                 total += int(stop[-1]) if len(stop) else 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed, pa.array(np.full(j - i, task)), before, pa.array(counts1)], names=["doc_id", "ids", "task", "before", "n"])
+        del encode
+        tidy()
 
     return materialise(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, task long, before long, n long"), "tokens")
 

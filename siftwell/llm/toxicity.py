@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, flat, in_fold, labelled_sample, read, slices, words_of, worker_path
+from .common import LOWER, Rolling, flat, in_fold, labelled_sample, read, slices, tidy, words_of, worker_path
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -253,6 +253,7 @@ def toxicity(docs: DataFrame, model: Model | None, column: str = "score") -> Dat
         m = shared.value
         for texts in batches:
             yield pa.array(np.concatenate([m.score(*flat(texts.slice(i, j - i))) for i, j in slices(texts)] or [np.zeros(0)]), pa.float64())
+        tidy()
 
     return docs.withColumn(column, run("text"))
 
