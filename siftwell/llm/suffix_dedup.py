@@ -10,7 +10,9 @@ one, mode "first" only those with an earlier one (by doc_id, then position), so
 3. Those segments come together by gram. In blocks of whole grams, ranks by prefix doubling sort the suffixes to the depth
    of 200 bytes; ties are in order of place, so within a tie the previous and next smaller places in suffix order are the
    neighbours, and the longest previous factor reaches 200 where there is one before. A gram with very many segments is
-   not brought together: its windows are dealt out by hashes of their 200 bytes, which puts equal prefixes together.
+   not brought together: anchors by further hash functions part its segments, equal parts collapse, parts with a key of
+   their own are done, and the rest meet in blocks again. What is still too much for a block is dealt out window by
+   window by hashes of the 200 bytes, which puts equal prefixes together.
 4. The spans of all windows found go back to their texts.
 
 Equal texts are handled once, by a 128-bit hash. Null and empty texts have nothing to remove. A text shorter than 200
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, materialise, read, slices, worker_path
+from .common import Rolling, flat, materialise, read, slices, tidy, worker_path
 
 LENGTH = 200
 GRAM = 16
@@ -86,6 +88,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 if len(row):
                     of = pa.array(i + row)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram), pa.array(seg)], names=["doc_id", "k1", "k2", "lo", "hi", "gram", "seg"])
+        tidy()
 
     long = docs.where(F.octet_length("text") >= length).select("doc_id", *(c.alias(n) for n, c in keys().items()), "text")
     return materialise(long.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, lo int, hi int, gram long, seg long"), "anchors")
@@ -160,12 +163,72 @@ def in_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
                 last = r[0]
         if held:
             yield done()
+            held = []
+        tidy()
 
     return rows.repartition("gram").sortWithinPartitions("gram").select("gram", "seg", "doc_id", "lo", "bytes").mapInArrow(run, "gram long, seg long, w1 int, w2 int")
 
 
+def parted(rows: DataFrame, length: int) -> DataFrame:
+    """gram, seg, doc_id, lo and bytes of segments: parts with the same anchors by four further hash functions.
+
+    Gives gram, seg, w1, w2 (the part's windows in its segment), key (of the anchors), part (of the bytes), doc_id, lo, bytes.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                some = batch.slice(i, 1000)
+                raw = some.column(4).to_pylist()
+                size = np.array([len(x) for x in raw])
+                data, count = np.frombuffer(b"".join(raw), np.uint8), size - length + 1
+                of = np.repeat(np.arange(len(raw)), count)
+                begin = np.cumsum(size) - size
+                w = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                start = begin[of] + w
+                grams = np.arange(len(data) - GRAM + 1)
+                new, key = np.append(True, np.diff(of) != 0), some.column(0).to_numpy()[of].view(np.uint64)
+                for seed in range(3, 7):
+                    code = Rolling(data, seed)(grams, grams + GRAM)
+                    least = sliding_least((code & np.uint64(0xFFFFFFFF00000000)) | grams.astype(np.uint64), length - GRAM + 1)
+                    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[start]
+                    new |= np.append(True, np.diff(anchor) != 0)
+                    key = (key ^ code[anchor]) * np.uint64(0x9E3779B97F4A7C15)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(start)) - 1
+                w1, w2, own = w[first], w[last], of[first]
+                s, e = start[first], start[last] + length
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(take), some.column(1).take(take), pa.array(w1.astype(np.int32)), pa.array(w2.astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(Rolling(data, 2)(s, e).view(np.int64)), some.column(2).take(take), pa.array((some.column(3).to_numpy()[own] + w1).astype(np.int32)), pa.array([bytes(data[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())],
+                    names=["gram", "seg", "w1", "w2", "key", "part", "doc_id", "lo", "bytes"],
+                )
+        tidy()
+
+    return rows.select("gram", "seg", "doc_id", "lo", "bytes").mapInArrow(run, f"gram long, seg long, w1 int, w2 int, key long, part long, doc_id {kind}, lo int, bytes binary")
+
+
+def in_parts(rows: DataFrame, length: int, first: bool, hot: int) -> DataFrame:
+    """Repeated windows (gram, seg, w1, w2) of grams with very many segments."""
+    parts = materialise(parted(rows, length), "parts")
+    least = F.min(F.struct("doc_id", "lo"))
+    groups = materialise(parts.groupBy("key", "part").agg(least.alias("f"), (F.count("*") > 1).alias("again")), "groups")
+    many = materialise(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "many")
+    mixed = materialise(groups.join(many, "key").select("key", "part", "hot", "f"), "mixed")
+    firsts = parts.join(mixed, ["key", "part"]).where("doc_id <=> f.doc_id and lo = f.lo")
+    firsts = materialise(firsts.select(F.col("key").alias("gram"), F.col("part").alias("seg"), "hot", "doc_id", "lo", "bytes"), "firsts")
+    found = in_blocks(firsts.where("not hot"), length, first).unionAll(by_hash(firsts.where("hot"), length, first))
+    found = materialise(found.select(F.col("gram").alias("key"), F.col("seg").alias("part"), F.col("w1").alias("x1"), F.col("w2").alias("x2")), "found")
+    joined = parts.drop("bytes").join(groups, ["key", "part"])
+    whole = joined.where("again and not (doc_id <=> f.doc_id and lo = f.lo)" if first else "again").select("gram", "seg", "w1", "w2")
+    own = joined.where("doc_id <=> f.doc_id and lo = f.lo" if first else "not again").select("key", "part", "gram", "seg", "w1")
+    inner = materialise(own, "own").join(found, ["key", "part"]).select("gram", "seg", (F.col("w1") + F.col("x1")).alias("w1"), (F.col("w1") + F.col("x2")).alias("w2"))
+    return whole.unionAll(inner)
+
+
 def by_hash(rows: DataFrame, length: int, first: bool) -> DataFrame:
-    """The same for grams with very many segments: equal windows meet by a 128-bit hash, counted before they travel."""
+    """The same window by window: equal ones meet by a 128-bit hash, counted before they travel."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +278,7 @@ def spans(docs: DataFrame, length: int = LENGTH, mode: str = "all", hot: int = H
     own = docs.select("doc_id", *(c.alias(n) for n, c in keys().items()), "text").join(by_text, ["k1", "k2"]).where("doc_id <=> id")
     cut = own.select(F.explode("s").alias("s"), F.col("text").cast("binary").alias("raw")).select("s.*", F.expr(f"substring(raw, s.lo + 1, s.hi - s.lo + {length})").alias("bytes"))
     rows = materialise(cut.dropDuplicates(["gram", "seg"]), "bytes")
-    inner = in_blocks(rows.where("not hot"), length, first).unionAll(by_hash(rows.where("hot"), length, first))
+    inner = in_blocks(rows.where("not hot"), length, first).unionAll(in_parts(rows.where("hot"), length, first, hot))
     inner = materialise(inner, "inner")
     # whole segments: those with other places ("first": at all places but the first)
     if first:
