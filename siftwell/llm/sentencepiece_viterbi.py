@@ -15,6 +15,7 @@ that holds the space mark itself decodes to a space there.
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, read, slices, worker_path
+from .common import flat, mix64, read, slices, tidy, worker_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -54,7 +55,10 @@ class Pieces:
     def setup(self, pieces: dict[str, int], scores: list[float]) -> None:
         self.longest = max(map(len, pieces))
         self.least = min(scores) - UNKNOWN
-        keys = np.array([self.hash_of(np.array([[ord(c) for c in w]], np.uint64))[0, -1] for w in pieces], np.uint64)
+        keys, names = np.zeros(len(pieces), np.uint64), list(pieces)
+        for size in set(map(len, names)):
+            own = [i for i, w in enumerate(names) if len(w) == size]
+            keys[own] = self.hash_of(np.frombuffer("".join(names[i] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64))[:, -1]
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], np.array(list(pieces.values()))[order], np.array(scores, np.float64)[order]
         if (np.diff(self.keys) == 0).any():
@@ -103,24 +107,29 @@ class Pieces:
                 some = own[s : s + step]
                 chars = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
                 _, back, place = self.paths(chars)
-                lists = [[] for _ in some]
-                rows, e = np.arange(len(some)), np.full(len(some), size)
+                rows, e, found = np.arange(len(some)), np.full(len(some), size), []
                 while len(rows):
                     k = back[rows, e]
                     at = place[rows, e - k, k - 1]
-                    for r, x, b in zip(rows.tolist(), np.where(at >= 0, self.ids[at], -1).tolist(), (e - 1).tolist(), strict=True):
-                        if x >= 0:
-                            lists[r].append(x)
-                        elif self.has_bytes:
-                            lists[r].extend(self.byte[list(words[some[r]][b].encode())].tolist()[::-1])
-                        else:
-                            lists[r].append(self.unknown)
+                    found.append((rows, e, np.where(at >= 0, self.ids[at], -1)))
                     e = e - k
                     rows, e = rows[e > 0], e[e > 0]
-                for i, ids in zip(some, lists, strict=True):
-                    out[i] = array("I", ids[::-1]).tobytes()
+                row, end, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((end, row))
+                ids, end, edge = ids[order], end[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))])
+                raw, edges = ids.astype(np.uint32).tobytes(), (edge * 4).tolist()
+                strange = set(row[order][ids < 0].tolist())
+                for r, i in enumerate(some):
+                    out[i] = self.with_bytes(words[i], ids[edge[r] : edge[r + 1]], end[edge[r] : edge[r + 1]]) if r in strange else raw[edges[r] : edges[r + 1]]
         return out
 
+    def with_bytes(self, word: str, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The ids of a word in which characters without a piece become those of their bytes."""
+        out = array("I")
+        for x, e in zip(ids.tolist(), ends.tolist(), strict=True):
+            out.extend([x] if x >= 0 else self.byte[list(word[e - 1].encode())].tolist() if self.has_bytes else [self.unknown])
+        return out.tobytes()
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end and their number for each text."""
         rows = len(at) - 1
@@ -185,13 +194,19 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def pieces_of(path: str) -> Pieces:
+    """One table a worker process."""
+    return Pieces(path)
+
+
 def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
     """docs with the ids (binary, unsigned little-endian 32-bit) in a further column."""
     worker_path(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(path or model_path())
+        pieces = pieces_of(path or model_path())
         for texts in batches:
             out = []
             for i, j in slices(texts):
@@ -199,6 +214,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") ->
                 at = np.concatenate([[0], np.cumsum(counts)]) * 4
                 out.append(pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")))]).cast(pa.binary()))
             yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        tidy()
 
     return docs.withColumn(column, run("text"))
 
@@ -209,7 +225,7 @@ def decoded(rows: DataFrame, path: str | None = None, column: str = "decoded") -
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(path or model_path())
+        pieces = pieces_of(path or model_path())
         for ids in batches:
             out: list[str] = []
             for i, j in slices(ids):
