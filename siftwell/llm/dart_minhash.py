@@ -10,7 +10,9 @@ Texts with the same words become one representative. Bands of coordinates make b
 a pseudo-random order; each is compared by whole signatures with the leaders before it, proposes those that may be similar
 as partners (the best two of each group of leaders), and leads too unless one is certainly similar. Large buckets are dealt out in runs, whose leaders meet in larger runs, until
 each bucket had one. Proposed pairs are verified by exact weighted Jaccard over the texts, and connected components over
-the verified links are the classes.
+the verified links are the first classes. Then all rows of a bucket that are in different first classes are compared by whole
+signatures, leaders or not; every pair of them that may be similar is verified too, and the components over all
+links are the classes. So the leaders save comparisons, but no link between rows of one bucket depends on them.
 
 Null and empty texts, and rows without an id, are alone in their class (class_id is the row's doc_id). Repeated rows
 share a class. The least doc_id represents a class. An empty table gives no rows; columns besides doc_id and text are
@@ -47,6 +49,9 @@ class Params:
     partners: int = 2
     #: Rows of a bucket that one run handles at first; each level takes eight times as many.
     run: int = 256
+    #: Rows of a bucket that one tile of the second round holds: outside the bucket's main class, and streamed past those.
+    outside: int = 512
+    main: int = 4096
 
 
 BLANKS = blanks()
@@ -280,25 +285,102 @@ def salted(members: DataFrame, run: int) -> DataFrame:
     return members.join(size, "bucket").select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(run)), runs).alias("run"), "doc_id", (runs > 1).alias("split"))
 
 
-def proposals(heads: DataFrame, p: Params) -> DataFrame:
-    """heads: doc_id, bands, marks of the representatives. Gives distinct pairs a, b that may be similar."""
+def proposals(heads: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """heads: doc_id, bands, marks of the representatives. Gives distinct pairs a, b that may be similar, and the members (bucket, doc_id) of buckets with two rows at least."""
     pairs = heads.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).limit(0)
-    members, run = heads.select("doc_id", F.explode("bands").alias("bucket")), p.run
+    members, run, shared = heads.select("doc_id", F.explode("bands").alias("bucket")), p.run, None
     while True:
         level = materialise(salted(members, run), "runs")
+        shared = shared or level.select("bucket", "doc_id")
         found = materialise(led(level.drop("split").join(heads.select("doc_id", "marks"), "doc_id"), p), "led")
         pairs = pairs.unionAll(found.where("b is not null").select("a", "b"))
         # buckets that had several runs: their leaders meet again
         again = level.where("split").select("bucket").distinct()
         members = materialise(found.where("b is null").select("bucket", F.col("a").alias("doc_id")).join(again, "bucket", "left_semi"), "leaders")
         if members.isEmpty():
-            return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), shared
         run *= 8
 
 
+def across(tiles: DataFrame, p: Params) -> DataFrame:
+    """tiles: bucket, left, right, side, doc_id, component, marks. Gives the pairs a, b of different components that may be similar.
+
+    A tile's rows of side 0 meet those of side 1 and, in the first tile of their run (right = 0), each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, left, right, side, ids, component = (batch.column(i).to_numpy() for i in range(6))
+            raw = batch.column(6).cast(pa.large_binary())
+            begin = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]
+            marks = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + len(ids) * p.coordinates].reshape(len(ids), p.coordinates)
+            keys = np.stack([bucket, left, right, side])
+            edge = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            for s, e in zip(edge.tolist(), np.append(edge[1:], len(ids)).tolist(), strict=True):
+                now = (int(bucket[s]), int(left[s]), int(right[s]))
+                if now != tile:
+                    tile, held = now, []
+                for i in range(s, e, 256):
+                    j = min(e, i + 256)
+                    own = (ids[i:j], component[i:j], marks[i:j])
+                    if side[s] == 0:
+                        held.append(tuple(x.copy() for x in own))
+                        if now[2]:
+                            continue
+                    for k, (there, other, seen) in enumerate(held):
+                        apart = own[1][:, None] != other[None, :]
+                        if side[s] == 0 and k == len(held) - 1:
+                            apart &= np.tri(j - i, k=-1, dtype=bool)
+                        x, y = np.nonzero(apart)
+                        for m in range(0, len(x), 1 << 16):
+                            u, v = x[m : m + (1 << 16)], y[m : m + (1 << 16)]
+                            near = (own[2][u] == seen[v]).mean(1) >= p.proposed
+                            if near.any():
+                                a, b = own[0][u[near]], there[v[near]]
+                                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        tidy()
+
+    dealt = tiles.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side").select("bucket", "left", "right", "side", "doc_id", "component", "marks")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -> DataFrame:
+    """Distinct pairs a, b of rows that share a bucket, are in different components and may be similar.
+
+    shared: bucket, doc_id; label: node, component. Rows outside a bucket's largest component (its main one) meet all of the
+    bucket's rows of other components, in tiles of a run of them and a run of the others.
+    """
+    of = label.select(F.col("node").alias("doc_id"), "component")
+    members = materialise(shared.join(of, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    size = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = size.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    runs = mixed.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / p.outside).alias("lefts"), F.ceil(F.col("main.n") / p.main).alias("rights"))
+    rows = members.join(materialise(runs, "mixed"), "bucket")
+    # a run of outside rows is the left of a tile with each run of the main component and each later run of outside rows
+    run = F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("rights")).otherwise(F.col("lefts")))
+    rows = rows.withColumn("run", run)
+
+    r, rights, lefts = F.col("run"), F.col("rights"), F.col("lefts")
+
+    def each(start, stop, left, right, side):  # tiles by a number from start to stop - 1; none for an empty range
+        made = F.transform(F.sequence(start, stop - 1), lambda k: F.struct(left(k).alias("left"), right(k).alias("right"), F.lit(side).alias("side")))
+        return F.slice(made, F.lit(1), F.greatest(stop - start, F.lit(0)).cast("int"))
+
+    zero = F.lit(0).cast("long")
+    streamed = each(zero, lefts, lambda k: k, lambda k: r, 1)
+    first = each(zero, rights, lambda k: r, lambda k: k, 0)
+    later = each(r + 1, lefts, lambda k: r, lambda k: rights + k, 0)
+    earlier = each(zero, r, lambda k: k, lambda k: rights + r, 1)
+    tile = F.when(F.col("component") == F.col("main"), streamed).otherwise(F.concat(first, later, earlier))
+    tiles = rows.select("bucket", "doc_id", "component", F.explode(tile).alias("t")).select("bucket", "t.left", "t.right", "t.side", "doc_id", "component")
+    return across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p).distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity, with it."""
-    pairs = materialise(pairs, "pairs")
+    """The pairs (a, b) whose texts have the similarity, with it. pairs is read several times."""
     ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     # repeated ids would double pairs: one text an id
@@ -322,8 +404,15 @@ def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     # texts with the same words: one representative, whose signature is that of all
     same = table.groupBy("w1", "w2").agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     heads = materialise(same, "heads")
-    links = verified(docs, proposals(heads.select(F.col("head").alias("doc_id"), "bands", "marks"), p), p)
-    label = components(links.select("a", "b"))
+    signs = heads.select(F.col("head").alias("doc_id"), "bands", "marks")
+    pairs, shared = proposals(signs, p)
+    pairs = materialise(pairs, "pairs")
+    label = materialise(components(verified(docs, pairs, p).select("a", "b")), "label")
+    # what the leaders kept from a proposal: rows of one bucket that are still apart
+    rest = materialise(crossing(signs, shared, label, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = materialise(verified(docs, rest, p).select("a", "b"), "links")
+    if not links.isEmpty():
+        label = components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     top = heads.select("w1", "w2", "head").join(label.select(F.col("node").alias("head"), "component"), "head", "left")
     top = materialise(top.select("w1", "w2", F.coalesce("component", "head").alias("class_id")), "classes")
     placed = materialise(table.select("doc_id", "w1", "w2").join(top, ["w1", "w2"]).select("doc_id", "class_id"), "placed")

@@ -93,3 +93,23 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def same_as_brute(spark, texts, p):
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in M.classes(df, p).collect()} == brute(rows)
+
+
+def test_base_text_after_copies_that_differ(spark):
+    """Copies are similar to their base (0.82) and not to each other (0.69): each needs its own link to the base."""
+    words = [f"w{i}" for i in range(300)]
+    copies = []
+    for k in range(60):
+        out = list(words)
+        for at in random.Random(k).sample(range(6, 294, 6), 6):
+            out[at] = f"edit{k}-{at}"
+        copies.append(" ".join(out))
+    assert all(similarity(" ".join(words), c) >= 0.8 for c in copies)
+    assert sum(similarity(a, b) >= 0.8 for a, b in zip(copies, copies[1:])) == 0
+    same_as_brute(spark, [*copies, " ".join(words)], M.Params(bands=4, band=1, outside=7, main=7))  # many tiles a bucket
