@@ -113,3 +113,24 @@ def test_base_text_after_copies_that_differ(spark):
     assert all(similarity(" ".join(words), c) >= 0.8 for c in copies)
     assert sum(similarity(a, b) >= 0.8 for a, b in zip(copies, copies[1:])) == 0
     same_as_brute(spark, [*copies, " ".join(words)], M.Params(bands=4, band=1, outside=7, main=7))  # many tiles a bucket
+
+
+def test_link_between_followers(spark):
+    """Two groups of copies (0.95 of their centre) that only the link of their centres (0.84) joins."""
+    rng = random.Random(1)
+
+    def edited(words, places, mark):
+        out = list(words)
+        for at in places:
+            out[at] = f"{mark}-{at}"
+        return out
+
+    one = [f"w{i}" for i in range(400)]
+    changed, places = range(6, 84, 12), list(range(102, 390, 6))
+    two = edited(one, changed, "two")
+    rows = [" ".join(x) for x in (one, two)]
+    for k in range(200):
+        rows += [" ".join(edited(c, rng.sample(places, 2), f"edit{k}{j}")) for j, c in enumerate((one, two))]
+    assert similarity(rows[0], rows[1]) >= 0.8 > similarity(rows[0], rows[3])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r.class_id for r in M.classes(df).collect()} == {0}
