@@ -50,7 +50,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
-    return packing.pieces(docs)
+    return packing.pieces(docs, added=True)
 
 
 STAGES = [

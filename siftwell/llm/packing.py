@@ -27,16 +27,19 @@ END = 1
 #: Distinct word chunks whose ids a worker keeps.
 KEPT_CHUNKS = 100_000
 TOKENIZER = "byte_bpe_50k"
+#: The added token of the vocabulary's JSON file, and its id.
+ADDED, ADDED_ID = b"<|endoftext|>", 50256
 
 
 class ByteBpe:
     """Ids of the byte-level BPE vocabulary: distinct chunks of a batch are encoded once.
 
     Texts are first cut where the vocabulary's own splitting pattern always cuts: before a space that
-    visible ASCII follows, and after a single line feed between visible ASCII. Special tokens in a text are ordinary text.
+    visible ASCII follows, and after a single line feed between visible ASCII. With `added`, the vocabulary's added token in a
+    text gets its own id, as tokenizers gives it by default, and parts the text; without, it is ordinary text.
     """
 
-    def __init__(self, name: str = TOKENIZER):
+    def __init__(self, name: str = TOKENIZER, added: bool = False):
         import base64
 
         import public_tokenizers
@@ -46,6 +49,18 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kept: dict[bytes, bytes] = {}
+        self.added = added
+        if added:
+            self.kept[ADDED] = array("I", [ADDED_ID]).tobytes()
+
+    @staticmethod
+    def occurrences(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places of the added token that lie in one text."""
+        raw, found, k = data.tobytes(), [], -1
+        while (k := raw.find(ADDED, k + 1)) >= 0:
+            found.append(k)
+        place = np.array(found, np.int64)
+        return place[np.searchsorted(at, place, "right") == np.searchsorted(at, place + len(ADDED) - 1, "right")]
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
@@ -56,6 +71,10 @@ class ByteBpe:
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] |= (data[:-1] == 0x20) & visible[1:]
         cut[2:-1] |= visible[:-2] & (data[1:-1] == 0x0A) & visible[2:]
+        if self.added and len(place := self.occurrences(data, at)):
+            # a space before the token ends its part: it stays with the blanks before it
+            cut[place[place > 0] - 1] = False
+            cut[place] = cut[place + len(ADDED)] = True
         cut[at] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
@@ -79,7 +98,7 @@ class ByteBpe:
         return ids, np.bincount(row, n, rows).astype(np.int64)
 
 
-def tokenised(docs: DataFrame, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, ids (binary, unsigned little-endian 32-bit, end id included), task, before (tokens of the task before it), n (its own), written to the shared folder."""
     worker_path(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -87,7 +106,7 @@ def tokenised(docs: DataFrame, end: int = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, total, encode = TaskContext.get().partitionId(), 0, ByteBpe()
+        task, total, encode = TaskContext.get().partitionId(), 0, ByteBpe(added=added)
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 ids, counts = encode(*flat(batch.column(1).slice(i, j - i)))
@@ -108,9 +127,9 @@ def tokenised(docs: DataFrame, end: int = END) -> DataFrame:
     return materialise(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, task long, before long, n long"), "tokens")
 
 
-def pieces(docs: DataFrame, length: int = SEQUENCE, end: int = END) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary)."""
-    table = tokenised(docs, end)
+def pieces(docs: DataFrame, length: int = SEQUENCE, end: int = END, added: bool = False) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary). added: as in ByteBpe."""
+    table = tokenised(docs, end, added)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # one row a task of pass one, whatever the number of documents
     totals = table.groupBy("task").agg(F.sum("n").alias("n"))
@@ -150,4 +169,4 @@ def sequences(cut: DataFrame) -> DataFrame:
 def op2_packing(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return pieces(read(spark, sf_dir, "documents")).drop("ids")
+    return pieces(read(spark, sf_dir, "documents"), added=True).drop("ids")

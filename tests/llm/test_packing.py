@@ -63,3 +63,24 @@ def test_documents(spark, sf):
 
 def test_empty(spark):
     assert packing.pieces(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+ADDED_TEXTS = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", "a <|endoftext|> <|endoftext|>\nb", "x\n<|endoftext|>\n\ny", "<|endof", "text|>", "é <|endoftext|>é", "plain text"]
+
+
+def test_added_token_has_its_id():
+    """Against the tokenizer as loaded, all texts in one buffer."""
+    import pyarrow as pa
+
+    from siftwell.llm.common import flat
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ADDED_TEXTS + [t or "" for t in TEXTS]
+    ids, n = packing.ByteBpe(added=True)(*flat(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_gives_added_token_its_id(spark, tmp_path):
+    spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = packing.op2_packing(spark, str(tmp_path)).collect()
+    assert row.doc_tokens == 4 and row.ids_crc32 == zlib.crc32(np.array([64, 50256, 65, packing.END], "<u4").tobytes())
