@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,11 +42,20 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what materialise() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for each of them, once nothing reads it any more, and what the driver holds of past plans.
+
+    Shuffle files go when the driver's JVM finds their plans unreachable, hence its collection here.
+    """
+    if not tables:
+        return
+    spark = tables[0].sparkSession
+    settings = spark._jsparkSession.sessionState().newHadoopConf()
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(settings).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def worker_path(spark: SparkSession) -> None:
@@ -142,7 +152,8 @@ def tidy() -> None:
 class Rolling:
     """Hashes of any substrings of one flat buffer, each in constant time: polynomials modulo 2^64.
 
-    Every byte first becomes a random 64-bit number; callers compare texts where a clash would matter.
+    Every byte first becomes a random 64-bit number. Callers take equal hashes (of two functions, or of 64 bits and a
+    place) for equal texts.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1

@@ -33,8 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (n, s)
         wide = materialise(star(now, True), "edges")
         after = materialise(star(wide, False), "edges")
-        forget(now)
-        forget(wide)
+        forget(now, wide)
         now = after
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

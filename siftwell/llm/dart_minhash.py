@@ -1,35 +1,42 @@
 """Near-duplicate classes by DartMinHash.
 
 A text is the weighted set of its five-word shingles (words lowered in ASCII; shorter texts are one shingle), a shingle's
-weight the number of its occurrences. Each unit of a shingle's weight throws darts: hashed exponential gaps place them
-along the rank axis, and a hash assigns each a coordinate. A text throws the darts up to a rank that fills nearly all
-coordinates and doubles it until all are filled; every coordinate keeps its earliest dart. Two texts agree in a
-coordinate with the probability of their weighted Jaccard similarity.
-
-Texts with the same words become one representative. Bands of coordinates make buckets. Inside a bucket, members come in
-a pseudo-random order; each is compared by whole signatures with the leaders before it, proposes those that may be similar
-as partners (the best two of each group of leaders), and leads too unless one is certainly similar. Large buckets are dealt out in runs, whose leaders meet in larger runs, until
-each bucket had one. Proposed pairs are verified by exact weighted Jaccard over the texts, and connected components over
-the verified links are the first classes. Then all rows of a bucket that are in different first classes are compared by whole
-signatures, leaders or not; every pair of them that may be similar is verified too, and the components over all
-links are the classes. So the leaders save comparisons, but no link between rows of one bucket depends on them.
-
-Null and empty texts, and rows without an id, are alone in their class (class_id is the row's doc_id). Repeated rows
-share a class. The least doc_id represents a class. An empty table gives no rows; columns besides doc_id and text are
-ignored; very long texts are read whole.
+weight the number of its occurrences (signatures() takes any positive weights). The weight axis of a shingle is parted
+into regions [0, 1), [1, 2), [2, 4) and so on; each region throws darts: hashed exponential gaps, shorter in wider
+regions, place them along the rank axis, one hash places them inside the region, and another assigns each a coordinate.
+Darts beyond the shingle's weight don't count. A text throws the darts up to a rank that fills nearly all coordinates and
+doubles it until all are filled; every coordinate keeps its earliest dart. Two texts agree in a coordinate with the
+probability of their weighted Jaccard similarity.
+
+Texts with the same words become one representative. Bands of coordinates make buckets, and classes grow in two rounds.
+
+1. In the buckets of the first few bands, members come in a pseudo-random order; each is compared by whole signatures with
+   the leaders before it, proposes the nearest of them if it may be similar, and leads too unless one is certainly
+   similar: one pair at most for each row and bucket. Large buckets are dealt out in runs, whose leaders meet in larger
+   runs. Proposed pairs are verified by exact weighted Jaccard over the texts; connected components over the verified
+   links are the first classes.
+2. All rows that share a bucket of any band and are in different first classes are compared by whole signatures, leaders
+   or not; every pair of them that may be similar is verified too, and the components over all links are the classes.
+
+So round one only saves comparisons: no link between rows of one bucket depends on who leads or proposes.
+
+Null and empty texts, and rows without an id, are alone in their class (class_id is the row's doc_id). Rows of one id are
+one document and share a class. The least doc_id represents a class. An empty table gives no rows; columns besides doc_id
+and text are ignored; very long texts are read whole. Texts count as the same where two 64-bit hashes of their words agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, blanks, flat, materialise, mix64, read, slices, tidy, words_of, worker_path
+from .common import LOWER, Rolling, blanks, flat, forget, materialise, mix64, powers, read, slices, tidy, words_of, worker_path
 from .components import components
 
 
@@ -41,14 +48,16 @@ class Params:
     bands: int = 24
     band: int = 4
     similarity: float = 0.8
-    #: Estimates from which a pair is proposed and from which it counts as similar until verified: 0.8 less and plus
-    #: about three and two and a half standard errors.
+    #: Bands whose buckets the first round takes; the second takes all.
+    opening: int = 6
+    #: Estimates from which a pair is proposed and from which a row needs not lead: 0.8 less and plus about three and
+    #: two and a half standard errors.
     proposed: float = 0.725
     certain: float = 0.86
-    #: Leaders that a row proposes of each group of similar ones.
-    partners: int = 2
-    #: Rows of a bucket that one run handles at first; each level takes eight times as many.
+    #: Rows of a bucket that one run handles at first; each level takes eight times as many, up to `longest`. Beyond that
+    #: the first round leaves leaders to the second, so a task holds so many of them at most.
     run: int = 256
+    longest: int = 16384
     #: Rows of a bucket that one tile of the second round holds: outside the bucket's main class, and streamed past those.
     outside: int = 512
     main: int = 4096
@@ -70,8 +79,6 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     # hash of k words on: a polynomial over the words' hashes
     sums, size_of = Rolling.__new__(Rolling), len(word)
     base = 0xD1342543DE82EF95
-    from .common import powers
-
     sums.power, sums.undo = powers(base, size_of)
     sums.sums = np.zeros(size_of + 1, np.uint64)
     np.cumsum(word * sums.power[:size_of], out=sums.sums[1:])
@@ -84,62 +91,75 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     return sums(s, e), srow, whole
 
 
-def occurrences(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """0 for the first occurrence of a hash in its row, 1 for the second, and so on."""
+def weights(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct hashes, their row and the number of their occurrences."""
     order = np.lexsort((hashes, row))
     h, r = hashes[order], row[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
-    at = np.flatnonzero(new)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
-    return out
+    at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[at], r[at], np.diff(np.append(at, len(h))).astype(np.float64)
+
+
+def regions(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Seed, row, width and share (of the width that lies under the weight) of each region that a weight reaches into."""
+    level = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))), 0).astype(np.int64)
+    n = level + 1
+    of = np.repeat(np.arange(len(hashes)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    width = np.where(k > 0, 2.0 ** (k - 1), 1.0)
+    low = np.where(k > 0, width, 0.0)
+    return mix64(hashes[of] + GOLD * k.astype(np.uint64)), row[of], width, np.minimum(1, (weight[of] - low) / width)
 
 
-def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, k: int) -> np.ndarray:
-    """(rows, k) 64-bit marks of each coordinate's earliest dart; rows without shingles keep zeros."""
+def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, k: int) -> np.ndarray:
+    """(rows, k) 64-bit marks of each coordinate's earliest dart; rows without elements keep zeros.
+
+    hashes: distinct in each row; weight: positive numbers.
+    """
     out, best = np.zeros((rows, k), np.uint64), np.full((rows, k), np.inf)
     if not len(hashes):
         return out
-    unit = mix64(hashes + GOLD * occurrences(hashes, row).astype(np.uint64))
-    weight = np.bincount(row, minlength=rows)
-    limit = (k * np.log(k) + 2 * k) / np.maximum(weight, 1)
+    total = np.bincount(row, weight, minlength=rows)
+    limit = (k * np.log(k) + 2 * k) / np.where(total > 0, total, 1)
 
-    def gap(seed: np.ndarray) -> np.ndarray:
-        return -np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    def unit(seed: np.ndarray) -> np.ndarray:
+        return ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-    stream, rank = unit, gap(unit)
+    # the darts of a region: a stream of hashes whose gaps add up to ranks
+    stream, row, width, share = regions(hashes, row, weight)
+    rank = -np.log(unit(stream)) / width
     while len(stream):
         inside = rank < limit[row]
-        marks, ranks, own = [], [], []
-        s, t, r = stream[inside], rank[inside], row[inside]
-        late = (stream[~inside], rank[~inside], row[~inside])
-        while len(s):
-            marks.append(s)
-            ranks.append(t)
-            own.append(r)
+        now = tuple(x[inside] for x in (stream, rank, row, width, share))
+        late = tuple(x[~inside] for x in (stream, rank, row, width, share))
+        thrown = []
+        while len(now[0]):
+            s, t, r, w, part = now
+            thrown.append((s, t, r, part))
             s = mix64(s + GOLD)
-            t = t + gap(s)
+            t = t - np.log(unit(s)) / w
             on = t < limit[r]
-            late = tuple(np.concatenate([a, b]) for a, b in zip(late, (s[~on], t[~on], r[~on]), strict=True))
-            s, t, r = s[on], t[on], r[on]
-        if marks:
-            m, t, r = np.concatenate(marks), np.concatenate(ranks), np.concatenate(own)
+            late = tuple(np.concatenate([a, b[~on]]) for a, b in zip(late, (s, t, r, w, part), strict=True))
+            now = tuple(x[on] for x in (s, t, r, w, part))
+        if thrown:
+            m, t, r, part = (np.concatenate(x) for x in zip(*thrown, strict=True))
+            partial = np.flatnonzero(part < 1)
+            beyond = partial[unit(mix64(m[partial] ^ np.uint64(0x8EBC6AF09C88C6E3))) >= part[partial]]
+            if len(beyond):
+                m, t, r = (np.delete(x, beyond) for x in (m, t, r))
             dart = mix64(m ^ np.uint64(0xA0761D6478BD642F))
             cell = r * k + (dart >> np.uint64(33)).astype(np.int64) % k
             order = np.lexsort((t, cell))
-            first = order[np.append(True, np.diff(cell[order]) != 0)]
+            first = order[np.append(True, np.diff(cell[order]) != 0)[: len(order)]]
             better = t[first] < best.ravel()[cell[first]]
             first = first[better]
             best.ravel()[cell[first]] = t[first]
             out.ravel()[cell[first]] = dart[first]
         # rows with an empty coordinate throw on, up to twice the rank
-        short = np.flatnonzero(np.isinf(best).any(1) & (weight > 0))
-        if not len(short):
+        short = np.isinf(best).any(1) & (total > 0)
+        if not short.any():
             break
-        again = np.zeros(rows, bool)
-        again[short] = True
         limit[short] *= 2
-        stream, rank, row = (x[again[late[2]]] for x in late)
+        stream, rank, row, width, share = (x[short[late[2]]] for x in late)
     return out
 
 
@@ -169,7 +189,7 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
                 own = np.flatnonzero(np.bincount(row, minlength=j - i))
                 if not len(own):
                     continue
-                sig = signatures(h, row, j - i, p.coordinates)[own]
+                sig = signatures(*weights(h, row), j - i, p.coordinates)[own]
                 second = np.zeros(j - i, np.uint64)
                 np.add.at(second, row, mix64(h ^ GOLD))
                 parts = sig[:, : p.bands * p.band].reshape(len(own), p.bands, p.band)
@@ -196,24 +216,20 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of one run, in order, against the leaders so far (in state). Gives proposed pairs (row, leader's id) and which rows lead.
-
-    Leaders that links of the similarity by estimate join, directly or through a row, count as one group: a row proposes the
-    best leaders of each group that may be similar, so its partners follow the groups around it, not their members.
-    """
+    """Rows of one run, in order, against the leaders so far (in state). Gives rows with their nearest leader's id, and which rows lead."""
     if state.get("of") != of:
         state.update(of=of, n=0, ids=np.zeros(16, np.int64), marks=np.zeros((16, marks.shape[1]), marks.dtype))
-    best, leads = np.zeros(len(ids)), np.zeros(len(ids), bool)
-    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    best, nearest, leads = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
 
     def against(rows: np.ndarray, lo: int, hi: int) -> None:
         for i in range(0, len(rows), 256):
             part = rows[i : i + 256]
             for k in range(lo, hi, 256):
                 same = (marks[part][:, None, :] == state["marks"][None, k : min(hi, k + 256), :]).mean(2)
-                best[part] = np.maximum(best[part], same.max(1))
-                x, y = np.nonzero(same >= p.proposed)
-                near.append((part[x], k + y, same[x, y]))
+                top = same.argmax(1)
+                value = same[np.arange(len(part)), top]
+                better = value > best[part]
+                best[part[better]], nearest[part[better]] = value[better], state["ids"][k + top[better]]
 
     todo = np.arange(len(ids))
     if state["n"]:
@@ -230,25 +246,8 @@ def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarra
         state["ids"][n], state["marks"][n], state["n"] = ids[x], marks[x], n + 1
         todo = todo[k + 1 :]
         against(todo, n, n + 1)
-    row, lead, same = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    group, sure = np.arange(state["n"]), same >= p.similarity
-    number = np.full(len(ids), -1)
-    number[leads] = np.arange(state["n"] - leads.sum(), state["n"])
-    while True:  # least label over these links
-        before = group.copy()
-        label = np.full(len(ids), state["n"])
-        label[leads] = group[number[leads]]
-        np.minimum.at(label, row[sure], group[lead[sure]])
-        np.minimum.at(group, lead[sure], label[row[sure]])
-        group[number[leads]] = np.minimum(group[number[leads]], label[leads])
-        group = group[group]
-        if (group == before).all():
-            break
-    order = np.lexsort((-same, group[lead], row))
-    new = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (np.diff(group[lead[order]]) != 0))[: len(order)])
-    place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    first = order[place < p.partners]
-    return row[first], state["ids"][lead[first]], leads
+    row = np.flatnonzero(best >= p.proposed)
+    return row, nearest[row], leads
 
 
 def led(members: DataFrame, p: Params) -> DataFrame:
@@ -280,26 +279,36 @@ def led(members: DataFrame, p: Params) -> DataFrame:
 
 def salted(members: DataFrame, run: int) -> DataFrame:
     """members (bucket, doc_id) of buckets with two rows at least, with run: buckets of up to `run` rows have one."""
-    size = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     runs = F.ceil(F.col("n") / run)
-    return members.join(size, "bucket").select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(run)), runs).alias("run"), "doc_id", (runs > 1).alias("split"))
+    # the run depends on the bucket too: rows that part in one bucket meet in another
+    return members.join(size, "bucket").select("bucket", F.pmod(F.xxhash64("doc_id", "bucket", F.lit(run)), runs).alias("run"), "doc_id", (runs > 1).alias("split"))
+
 
+def buckets(heads: DataFrame) -> DataFrame:
+    """band, bucket and doc_id of the rows that share a bucket with another; written to the shared folder."""
+    every = heads.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    shared = every.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("bucket")
+    return materialise(every.join(shared, "bucket", "left_semi"), "buckets")
 
-def proposals(heads: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """heads: doc_id, bands, marks of the representatives. Gives distinct pairs a, b that may be similar, and the members (bucket, doc_id) of buckets with two rows at least."""
-    pairs = heads.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).limit(0)
-    members, run, shared = heads.select("doc_id", F.explode("bands").alias("bucket")), p.run, None
+
+def proposals(heads: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """heads: doc_id, marks; shared: see buckets(). Gives distinct pairs a, b that may be similar, one a row and bucket at most; written to the shared folder."""
+    members, run, found, held = shared.where(F.col("band") < p.opening).select("bucket", "doc_id"), p.run, [], []
     while True:
         level = materialise(salted(members, run), "runs")
-        shared = shared or level.select("bucket", "doc_id")
-        found = materialise(led(level.drop("split").join(heads.select("doc_id", "marks"), "doc_id"), p), "led")
-        pairs = pairs.unionAll(found.where("b is not null").select("a", "b"))
+        found.append(materialise(led(level.drop("split").join(heads.select("doc_id", "marks"), "doc_id"), p), "led"))
         # buckets that had several runs: their leaders meet again
         again = level.where("split").select("bucket").distinct()
-        members = materialise(found.where("b is null").select("bucket", F.col("a").alias("doc_id")).join(again, "bucket", "left_semi"), "leaders")
-        if members.isEmpty():
-            return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), shared
+        members = materialise(found[-1].where("b is null").select("bucket", F.col("a").alias("doc_id")).join(again, "bucket", "left_semi"), "leaders")
+        held += [level, members]
+        if run >= p.longest or members.isEmpty():
+            break
         run *= 8
+    pairs = reduce(DataFrame.unionAll, (x.where("b is not null").select("a", "b") for x in found))
+    out = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    forget(*found, *held)
+    return out
 
 
 def across(tiles: DataFrame, p: Params) -> DataFrame:
@@ -348,7 +357,7 @@ def across(tiles: DataFrame, p: Params) -> DataFrame:
 
 
 def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs a, b of rows that share a bucket, are in different components and may be similar.
+    """Distinct pairs a, b of rows that share a bucket, are in different components and may be similar; written to the shared folder.
 
     shared: bucket, doc_id; label: node, component. Rows outside a bucket's largest component (its main one) meet all of the
     bucket's rows of other components, in tiles of a run of them and a run of the others.
@@ -358,7 +367,7 @@ def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -
     size = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = size.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
     runs = mixed.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / p.outside).alias("lefts"), F.ceil(F.col("main.n") / p.main).alias("rights"))
-    rows = members.join(materialise(runs, "mixed"), "bucket")
+    rows = members.join(runs, "bucket")
     # a run of outside rows is the left of a tile with each run of the main component and each later run of outside rows
     run = F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("rights")).otherwise(F.col("lefts")))
     rows = rows.withColumn("run", run)
@@ -376,12 +385,14 @@ def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -
     earlier = each(zero, r, lambda k: k, lambda k: rights + r, 1)
     tile = F.when(F.col("component") == F.col("main"), streamed).otherwise(F.concat(first, later, earlier))
     tiles = rows.select("bucket", "doc_id", "component", F.explode(tile).alias("t")).select("bucket", "t.left", "t.right", "t.side", "doc_id", "component")
-    return across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p).distinct()
+    out = materialise(across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p).distinct(), "crossing")
+    forget(members)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity, with it. pairs is read several times."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
+    """The pairs a, b whose texts have the similarity; pairs is read several times. Written to the shared folder."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     # repeated ids would double pairs: one text an id
     texts = materialise(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
@@ -394,7 +405,9 @@ def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
             yield pa.array(np.concatenate(parts or [np.zeros(0)]), pa.float64())
         tidy()
 
-    return both.select("a", "b", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= p.similarity)
+    out = materialise(both.select("a", "b", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= p.similarity).select("a", "b"), "links")
+    forget(texts)
+    return out
 
 
 def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -404,18 +417,26 @@ def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     # texts with the same words: one representative, whose signature is that of all
     same = table.groupBy("w1", "w2").agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     heads = materialise(same, "heads")
+    words = materialise(table.select("doc_id", "w1", "w2"), "words")
+    forget(table)
     signs = heads.select(F.col("head").alias("doc_id"), "bands", "marks")
-    pairs, shared = proposals(signs, p)
-    pairs = materialise(pairs, "pairs")
-    label = materialise(components(verified(docs, pairs, p).select("a", "b")), "label")
-    # what the leaders kept from a proposal: rows of one bucket that are still apart
-    rest = materialise(crossing(signs, shared, label, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = materialise(verified(docs, rest, p).select("a", "b"), "links")
+    shared = buckets(signs)
+    pairs = proposals(signs, shared, p)
+    links = verified(docs, pairs, p)
+    label = materialise(components(links), "label")
+    # what round one kept from a proposal: rows of one bucket that are still apart
+    rest = crossing(signs, shared.select("bucket", "doc_id"), label, p)
+    new = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    forget(shared, pairs, rest, links)
+    links = verified(docs, new, p)
     if not links.isEmpty():
-        label = components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        more = materialise(components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "label")
+        forget(label)
+        label = more
     top = heads.select("w1", "w2", "head").join(label.select(F.col("node").alias("head"), "component"), "head", "left")
     top = materialise(top.select("w1", "w2", F.coalesce("component", "head").alias("class_id")), "classes")
-    placed = materialise(table.select("doc_id", "w1", "w2").join(top, ["w1", "w2"]).select("doc_id", "class_id"), "placed")
+    placed = materialise(words.join(top, ["w1", "w2"]).select("doc_id", "class_id"), "placed")
+    forget(heads, words, new, links, label, top)
     alone = docs.select("doc_id").join(placed, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
     return placed.unionAll(alone)
 

@@ -62,19 +62,29 @@ def test_signatures_estimate_weighted_jaccard():
     words = rng.choice(1000, 400)
     a, b = [" ".join(map(str, x)) for x in (words, np.concatenate([words[:330], rng.choice(5000, 70)]))]
     h, row, _ = M.shingles(*flat(pa.array([a, b])), 5)
-    sig = M.signatures(h, row, 2, 4096)
+    sig = M.signatures(*M.weights(h, row), 2, 4096)
     assert (sig != 0).all()
     assert abs((sig[0] == sig[1]).mean() - similarity(a, b)) < 0.03
     assert abs(M.jaccard(pa.array([a, a]), pa.array([b, a]), P) - [similarity(a, b), 1]).max() < 1e-12
 
 
+def test_signatures_of_real_weights():
+    rng = np.random.default_rng(2)
+    h = np.tile(rng.integers(0, 2**63, 80).astype(np.uint64), 2)
+    weight = np.concatenate([rng.exponential(5, 80), rng.exponential(5, 80)]) + 0.01
+    sig = M.signatures(h, np.repeat([0, 1], 80), weight, 2, 8192)
+    a, b = weight.reshape(2, 80)
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+    assert M.signatures(h[:0], np.zeros(0, np.int64), weight[:0], 2, 8).sum() == 0
+
+
 def test_classes(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame([(i, t, i, "s") for i, t in rows], "doc_id long, text string, class_id long, bands string").repartition(3)
     got = {r.doc_id: r.class_id for r in M.classes(df).collect()}
     assert got == brute(rows)
-    small = {r.doc_id: r.class_id for r in M.classes(df, M.Params(run=8)).collect()}
-    assert small == got
+    for p in (M.Params(run=8), M.Params(run=8, longest=8, outside=7, main=9)):
+        assert {r.doc_id: r.class_id for r in M.classes(df, p).collect()} == got
 
 
 def test_cases(spark):
