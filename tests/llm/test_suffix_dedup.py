@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from siftwell.llm import suffix_dedup as S
@@ -43,14 +44,44 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("mode", "hot"), [("all", 400), ("all", 3), ("first", 400), ("first", 3)])
-def test_against_every_window(spark, mode, hot):
+@pytest.mark.parametrize(("mode", "most"), [("all", S.BLOCK), ("all", 700), ("first", S.BLOCK), ("first", 700)])
+def test_against_every_window(spark, mode, most):
     rows = [(3 * i % 1000, t) for i, t in enumerate(texts())]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, k1 int, cut string").repartition(3)
-    got = {r.doc_id: (r["c"].n_bytes, r["c"].n_removed, r["c"].n_spans, bytes(r["c"].kept)) for r in S.kept(df.select("doc_id", "text"), 200, mode, hot).withColumnRenamed("cut", "c").collect()}
+    got = {r.doc_id: (r["c"].n_bytes, r["c"].n_removed, r["c"].n_spans, bytes(r["c"].kept)) for r in S.kept(df.select("doc_id", "text"), 200, mode, most).withColumnRenamed("cut", "c").collect()}
     assert got == brute(rows, 200, mode)
 
 
+def test_longest_factors():
+    rng = np.random.default_rng(4)
+    for letters in (1, 2, 4):
+        data = rng.integers(97, 97 + letters, 400).astype(np.uint8)
+        data[250:330] = data[20:100]
+        window = np.arange(len(data) - 40 + 1)
+        raw = data.tobytes()
+
+        def lcp(i, j):
+            n = 0
+            while n < 40 and raw[i + n] == raw[j + n]:
+                n += 1
+            return n
+
+        for later in (False, True):
+            got = S.longest_factors(data, window, 40, later)
+            want = [max([lcp(i, j) for j in (range(i + 1, len(window)) if later else range(i))], default=0) for i in window]
+            # lengths short of the depth come in steps of eight bytes
+            assert [min(x, 40) // 8 for x in got] == [x // 8 for x in want]
+    assert S.smaller(np.array([3, 1, 2, 5, 4, 0])).tolist() == [-1, -1, 1, 2, 2, -1]
+
+
+def test_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long), (2, long[:150_000] + "#" + long[-500:]), (3, "x" + long[1000:1300])]
+    got = {r.doc_id: (r.cut.n_removed, r.cut.n_spans) for r in S.kept(spark.createDataFrame(rows, "doc_id long, text string"), mode="first").collect()}
+    assert got == {1: (0, 0), 2: (150_500, 2), 3: (300, 1)}
+
+
 def test_cases(spark):
     long = "abc " * 100 + "end"
     df = spark.createDataFrame([(None, "q" * 150 + "r" * 150), (1, long), (1, long), (2, None)], "doc_id long, text string")
