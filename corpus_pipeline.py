@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import compression_quality, dart_minhash, packing, suffix_dedup, toxicity
-from siftwell.llm.common import in_fold, materialise, read
+from siftwell.llm.common import forget, in_fold, materialise, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class; of repeated rows one; rows without an id all stay."""
+    """Keeps the document with the least doc_id of each class; rows of one id and text once; rows without an id all stay.
+
+    Rows of one id are one document to the operator: where its texts differ, all of them stay or go together.
+    """
     label = dart_minhash.classes(docs.select("doc_id", "text"))
     first = materialise(label.where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    stay = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    stay = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("__sw_text", F.xxhash64("text"))
+    return stay.dropDuplicates(["doc_id", "__sw_text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = first = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        after = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if docs is not first:
+            forget(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

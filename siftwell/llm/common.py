@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at once; one longer text is handled alone.
@@ -119,7 +119,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Bases whose powers a worker keeps, each at a slice's length; workers live on from stage to stage.
+#: Bases whose powers a worker keeps, up to a slice's length; workers live on from stage to stage.
 KEPT_BASES = 2
 
 
@@ -127,10 +127,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n + 1 powers of base and of its inverse modulo 2^64."""
     if base in POWERS and len(POWERS[base][0]) > n:
         return POWERS[base]
-    keep = n <= SLICE_BYTES and len(POWERS) < KEPT_BASES
+    keep = n <= SLICE_BYTES and (base in POWERS or len(POWERS) < KEPT_BASES)
     made = []
     for x in (base, pow(base, -1, 2**64)):
-        out = np.full((SLICE_BYTES if keep else n) + 1, x, np.uint64)
+        out = np.full((min(SLICE_BYTES, max(1 << 16, 1 << n.bit_length())) if keep else n) + 1, x, np.uint64)
         out[0] = 1
         made.append(np.cumprod(out, out=out))
     if keep:
@@ -194,15 +194,30 @@ def blanks() -> np.ndarray:
     return out
 
 
+#: One text gives at most this share of a sample's bytes.
+TEXT_SHARE = 16
+
+
 def labelled_sample(docs: DataFrame, keys: DataFrame, max_rows: int, max_bytes: int) -> pa.Table:
-    """The texts of at most max_rows rows of `keys` (doc_id and further columns) and max_bytes bytes, in a fixed pseudo-random order.
+    """The texts (and all other columns) of the docs of at most max_rows rows of `keys` (doc_id and further columns), in a fixed pseudo-random order, up to max_bytes bytes.
 
-    The order depends on doc_id alone; the sample is bounded, so it may be broadcast and collected.
+    The order depends on doc_id alone; the sample is bounded, so it may be broadcast and collected. A text of more than a
+    sixteenth of max_bytes gives an excerpt from its middle; of rows that share an id the one with the least text counts.
     """
-    picked = keys.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    from pyspark.sql import Window
-
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    sized = found.limit(2 * max_rows).withColumn("__sw_upto", F.sum(F.octet_length("text")).over(upto))
+    picked = keys.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+    found = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+    most, chars = max_bytes // TEXT_SHARE, max_bytes // TEXT_SHARE // 4
+    middle = F.col("text").substr(F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - chars // 2), F.lit(chars))
+    cut = found.withColumn("text", F.when(F.octet_length("text") > most, middle).otherwise(F.col("text")))
+    rest = [c for c in cut.columns if c not in ("doc_id", "text")]
+    one = cut.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__sw_r")).select("doc_id", "__sw_r.*")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = one.withColumn("__sw_upto", F.sum(F.octet_length("text")).over(upto))
     return sized.where(F.col("__sw_upto") <= max_bytes).drop("__sw_upto").toArrow()
+
+
+def added(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """docs with a further column; a column of that name is not overwritten."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {name!r} already: rename it, or have the result under another name")
+    return docs.withColumn(name, value)

@@ -1,12 +1,12 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-Each text is cut into blocks, and each block compressed with the good dictionary, the bad one and none. The difference
-of the two dictionary sizes over the plain size says which texts it resembles; the plain size of the whole text over its
-length says how repetitive it is. A logistic calibration of these becomes the score.
+Each text is cut into blocks, and each block compressed with the good dictionary and with the bad one. The difference of
+the two sizes over the text's length says which texts it resembles. A logistic calibration of that difference, and of its
+product with the logarithm of the length (longer texts tell more surely), becomes the score: nothing else goes in.
 
 Null and empty texts get the score of an empty text (the share of good labels among the learned). With no label of both
 classes every score is 0.5. Repeated rows score alike; very long texts are read whole, block by block; columns besides
-doc_id and text are ignored; an empty table gives no rows.
+doc_id and text stay as they are, and one with the result's name is refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,21 +20,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_fold, labelled_sample, read, slices, tidy, worker_path
+from .common import added, flat, in_fold, labelled_sample, read, slices, tidy, worker_path
 
 
 @dataclass
 class Params:
     #: Bytes of each dictionary, and of the excerpt that a text gives to one.
-    dictionary: int = 96 << 10
-    excerpt: int = 600
+    dictionary: int = 400 << 10
+    excerpt: int = 300
     block: int = 1024
-    level: int = 1
+    level: int = 5
     #: Bounds of the training sample, of each class and in all.
     max_rows: int = 1500
     max_bytes: int = 10 << 20
-    #: Weight of the good class in the calibration; the bad class has 1.
-    good_weight: float = 3.0
+    #: Weight of the good class in the calibration, about its share in a corpus over that of the bad class, which has 1.
+    good_weight: float = 6.0
     seed: int = 5
 
 
@@ -55,32 +55,25 @@ class Model:
             made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.good, self.bad)]
             for d in made:
                 d.precompute_compress(level=level)
-            plain = {"write_content_size": False, "write_checksum": False}
-            self.tools = [zstandard.ZstdCompressor(level=level, dict_data=d, write_dict_id=False, **plain) for d in made] + [zstandard.ZstdCompressor(level=level, **plain)]
+            self.tools = [zstandard.ZstdCompressor(level=level, dict_data=d, write_dict_id=False, write_content_size=False, write_checksum=False) for d in made]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
 
-    def sizes(self, raw: bytes) -> tuple[int, int, int, int]:
-        """Compressed sizes of raw: by blocks with good, bad and no dictionary; and whole."""
-        good, bad, plain = self.tools
-        n, out = self.params.block, [0, 0, 0]
+    def difference(self, raw: bytes) -> float:
+        """Compressed size with the bad dictionary less that with the good one, a byte of raw."""
+        self.start()
+        good, bad = self.tools
+        n, out = self.params.block, 0
         for i in range(0, len(raw), n):
             block = raw[i : i + n]
-            out[0] += len(good.compress(block))
-            out[1] += len(bad.compress(block))
-            out[2] += len(plain.compress(block))
-        return (*out, len(plain.compress(raw)) if len(raw) > n else out[2])
+            out += len(bad.compress(block)) - len(good.compress(block))
+        return out / max(1, len(raw))
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        self.start()
         view = memoryview(data)
-        found = np.array([self.sizes(view[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.float64).reshape(-1, 4)
-        n = np.maximum(np.diff(at), 1)
-        difference = (found[:, 1] - found[:, 0]) / np.maximum(found[:, 2], 1)
-        block, whole = np.log(np.maximum(found[:, 2], 1) / n), np.log(np.maximum(found[:, 3], 1) / n)
-        size = np.log(n)
-        return np.stack([difference, difference * size, np.minimum(block, 0), np.minimum(whole, 0), np.maximum(block, 0), size, size * size / 10, whole * size], 1)
+        d = np.array([self.difference(view[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.float64)
+        return np.stack([d, d * np.log(np.maximum(np.diff(at), 1))], 1)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         x = (self.features(data, at) - self.centre) / self.scale
@@ -113,7 +106,7 @@ def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model
         first = np.zeros(len(y), bool)
     some = first if first.any() else ~first
     good, bad = (dictionary([raw[i] for i in np.flatnonzero(some & (y == c))], p, rng) for c in (1, 0))
-    model = Model(p, good, bad, np.zeros(9), np.zeros(8), np.ones(8), float(y.mean()))
+    model = Model(p, good, bad, np.zeros(3), np.zeros(2), np.ones(2), float(y.mean()))
     use = np.flatnonzero(~first)
     x = np.concatenate([model.features(*flat(pa.array([texts[i] for i in use[b : b + 500]], pa.large_string()))) for b in range(0, len(use), 500)])
     model.centre, model.scale = x.mean(0), x.std(0) + 1e-6
@@ -136,14 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model |
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("__sw_y"))
     ordered = [known.where(F.col("__sw_y") == c).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows) for c in (0, 1)]
     found = labelled_sample(docs, ordered[0].unionAll(ordered[1]), 2 * p.max_rows, p.max_bytes)
-    return train(found["text"].to_pylist(), found["__sw_y"].to_pylist(), p)
+    model = train(found["text"].to_pylist(), found["__sw_y"].to_pylist(), p)
+    tidy()
+    return model
 
 
 def quality(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """docs with the score in a further column."""
     worker_path(docs.sparkSession)
     if model is None:
-        return docs.withColumn(column, F.lit(0.5))
+        return added(docs, column, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
     @F.arrow_udf("double")
@@ -153,7 +148,7 @@ def quality(docs: DataFrame, model: Model | None, column: str = "score") -> Data
             yield pa.array(np.concatenate([m.score(*flat(texts.slice(i, j - i))) for i, j in slices(texts)] or [np.zeros(0)]), pa.float64())
         tidy()
 
-    return docs.withColumn(column, run("text"))
+    return added(docs, column, run("text"))
 
 
 def op4_compression_quality(spark, sf_dir: str) -> DataFrame:

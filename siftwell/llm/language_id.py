@@ -7,7 +7,8 @@ windows calibrates the probability; below a threshold, fitted there too, a predi
 
 Null texts and texts without a letter get `und` with score 0. Null languages are never learned from. With no language
 to learn from, every text is `und`. Repeated rows are scored alike, in ties the language first in order wins, very long
-texts are scored whole, columns besides doc_id, text and lang are ignored, and an empty table gives no rows.
+texts are scored whole, columns besides doc_id, text and lang stay as they are (one with the result's name is refused), and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, in_fold, labelled_sample, read, slices, tidy, worker_path
+from .common import LOWER, added, flat, in_fold, labelled_sample, read, slices, tidy, worker_path
 
 NONE = "und"
 
@@ -159,17 +160,19 @@ def train(texts: list[str], langs: list[str], p: Params | None = None) -> Model
 def fit(docs: DataFrame, p: Params | None = None) -> Model | None:
     """A model of a bounded sample of docs (doc_id, text, lang)."""
     p = p or Params()
-    keys = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").alias("__sw_lang"))
-    found = labelled_sample(docs, keys, p.max_rows, p.max_bytes)
-    return train(found["text"].to_pylist(), found["__sw_lang"].to_pylist(), p)
+    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    found = labelled_sample(known, known.select("doc_id"), p.max_rows, p.max_bytes)
+    model = train(found["text"].to_pylist(), found["lang"].to_pylist(), p)
+    tidy()
+    return model
 
 
-def languages(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a struct column `language`: lang_pred, score, rejected."""
+def languages(docs: DataFrame, model: Model | None, column: str = "language") -> DataFrame:
+    """docs with a struct column: lang_pred, score, rejected."""
     worker_path(docs.sparkSession)
     kind = "lang_pred string, score double, rejected boolean"
     if model is None:
-        return docs.withColumn("language", F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
+        return added(docs, column, F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^bits rows, whatever the input
 
     @F.arrow_udf(kind)
@@ -182,7 +185,7 @@ def languages(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), pa.array(score < m.threshold)], ["lang_pred", "score", "rejected"])
         tidy()
 
-    return docs.withColumn("language", run("text"))
+    return added(docs, column, run("text"))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

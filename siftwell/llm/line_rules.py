@@ -1,12 +1,14 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Lines (split at line feeds, those with a word) are trimmed, lowered and hashed. A line that more than `limit` different
-texts of one host hold is boilerplate there and removed; a document that keeps too few of its words is depleted and
-rejected, as is one that fails the base rules (under 10 words, or over a fifth of its words in repeated 5-word windows).
-
-Null texts have no word and fail. A null host is a host of its own. Exact copies count once for a line, so copies alone
-don't make it boilerplate; repeated rows are judged alike. Empty tables give no rows; columns besides doc_id, text and
-the host column are ignored. Word windows and lines are compared by 64-bit hashes.
+Lines (split at line feeds, those with a word) are trimmed, lowered and hashed. A line that more documents of one host
+hold than the limit (a share of the host's documents, and a floor) is boilerplate there: cleaned() removes it, and
+judged() counts its words. A document that keeps too few of its words is depleted and rejected, as is one that fails the
+base rules (under 10 words, or over a fifth of its words in repeated 5-word windows).
+
+Documents are counted by doc_id, so repeated rows of one id count once; rows without an id count by text. Null texts have
+no word and fail. A null host is a host of its own, and so is an empty one. Repeated rows are judged alike. Empty tables
+give no rows; columns besides doc_id, text and the host column are ignored (cleaned() keeps them). Word windows, lines and
+document ids are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from .common import read
 
 BLANK = " \t\n\x0b\f\r"
 BLANK_RUN = r"[ \t-\r]++"
-#: Texts of one host that may hold a line.
-LIMIT = 100
+#: Documents of one host that may hold a line: so many, or this share of the host's documents if that is more.
+FLOOR = 5
+SHARE = 0.02
 #: A document must keep so many words, and this share of its words.
 LEAST_WORDS = 5
-LEAST_SHARE = 0.1
+LEAST_SHARE = 0.3
 WINDOW = 5
 
 
@@ -60,37 +63,58 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return six.withColumn("base_failed", failed).drop(*(f"__sw_{x}" for x in "wlhgsp"))
 
 
-def lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row for each line with a word: doc_id, host, the text's hash, the line's number, hash and count of words."""
-    parted = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def keyed(docs: DataFrame, host: str) -> DataFrame:
+    """docs with __sw_host (never null: a null host differs from an empty one), __sw_doc (hash of the id) and __sw_text (hash of the text)."""
+    doc = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(1))).otherwise(F.xxhash64("doc_id"))
+    return docs.withColumns({"__sw_host": F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")), "__sw_doc": doc, "__sw_text": F.xxhash64("text")})
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """docs as keyed() gives them. One row for each line with a word: its document, host, text, number, hash and count of words."""
+    parted = docs.select("__sw_host", "__sw_doc", "__sw_text", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     trimmed = parted.withColumn("line", F.lower(F.btrim("line", F.lit(BLANK)))).where("length(line) > 0")
-    return trimmed.select("doc_id", "host", "text_hash", "at", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", BLANK_RUN)).alias("n"))
+    return trimmed.select("__sw_host", "__sw_doc", "__sw_text", "at", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", BLANK_RUN)).alias("n"))
+
+
+def boilerplate(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+    """__sw_host and line_hash of the lines that more documents of the host hold than the limit."""
+    seen = lines(docs).select("__sw_host", "line_hash", "__sw_doc").distinct()
+    often = seen.groupBy("__sw_host", "line_hash").agg(F.count("*").alias("held")).where(F.col("held") > floor)
+    size = docs.select("__sw_host", "__sw_doc").distinct().groupBy("__sw_host").agg(F.count("*").alias("documents"))
+    return often.join(size, "__sw_host").where(F.col("held") > share * F.col("documents")).select("__sw_host", "line_hash")
+
+
+def removed(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+    """__sw_doc, __sw_host, __sw_text, at (the numbers of its boilerplate lines) and words (in them); texts without such a line are absent."""
+    found = lines(docs).join(boilerplate(docs, floor, share), ["__sw_host", "line_hash"])
+    # rows that share id, host and text have the same lines: take those of one
+    once = found.dropDuplicates(["__sw_doc", "__sw_host", "__sw_text", "at"])
+    return once.groupBy("__sw_doc", "__sw_host", "__sw_text").agg(F.collect_list("at").alias("__sw_at"), F.sum("n").alias("__sw_words"))  # no more than the text's lines
 
 
-def boilerplate(docs: DataFrame, host: str = "source", limit: int = LIMIT) -> DataFrame:
-    """host and line_hash of the lines that more than `limit` different texts of the host hold."""
-    seen = lines(docs, host).select("host", "line_hash", "text_hash").distinct()
-    return seen.groupBy("host", "line_hash").agg(F.count("*").alias("texts")).where(F.col("texts") > limit)
+def marked(docs: DataFrame, host: str, floor: int, share: float) -> DataFrame:
+    """docs with __sw_at and __sw_words (null where no line is boilerplate)."""
+    rows = keyed(docs, host)
+    return rows.join(removed(rows, floor, share), ["__sw_doc", "__sw_host", "__sw_text"], "left")
 
 
-def removed_words(docs: DataFrame, host: str = "source", limit: int = LIMIT) -> DataFrame:
-    """doc_id, host, text_hash, removed (words in boilerplate lines); texts without such a line are absent."""
-    found = lines(docs, host).join(boilerplate(docs, host, limit).drop("texts"), ["host", "line_hash"])
-    # rows that share doc_id, host and text have the same lines: count those of one
-    return found.dropDuplicates(["doc_id", "host", "text_hash", "at"]).groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("words"))
+def cleaned(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+    """docs, their texts without boilerplate lines."""
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__sw_at", i))
+    text = F.when(F.col("__sw_at").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return marked(docs, host, floor, share).withColumn("text", text).select(docs.columns)
 
 
-def judged(docs: DataFrame, host: str = "source", limit: int = LIMIT) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE) -> DataFrame:
     """doc_id, the base counts, base_failed, removed_words and kept."""
-    rows = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = keyed(docs.select("doc_id", "text", host), host)
     counted = base_counts(rows).drop("text")
-    copies = removed_words(docs, host, limit).alias("r")
-    d = counted.alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.host") == F.col("r.host")) & (F.col("d.text_hash") == F.col("r.text_hash"))
-    both = d.join(copies, on, "left").select("d.*", F.coalesce("r.words", F.lit(0)).cast("long").alias("removed_words"))
+    both = counted.join(removed(rows, floor, share).drop("__sw_at"), ["__sw_doc", "__sw_host", "__sw_text"], "left")
+    both = both.withColumn("removed_words", F.coalesce("__sw_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.least("removed_words", "n_words")
     depleted = (F.col("removed_words") > 0) & ((left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words")))
-    return both.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "text_hash")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words"]
+    return both.select(*names, (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def op9_line_rules(spark, sf_dir: str) -> DataFrame:
@@ -98,18 +122,19 @@ def op9_line_rules(spark, sf_dir: str) -> DataFrame:
 
 
 BASE_SQL = r"""
-with t as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
+with t as (select doc_id, coalesce('=' || source, '') as host, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
 g as (select *, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) else [] end as g from w),
 p as (select doc_id, unnest(g) as gram, generate_subscripts(g, 1) as i from g),
 d as (select doc_id, i, count(*) over (partition by doc_id, gram) as n from p),
 c as (select doc_id, count(distinct i + k) as r from d, (select unnest(range(0, 5)) as k) where n > 1 group by 1),
 line as (select doc_id, host, text, lower(trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as line from w),
-often as (select host, line from line group by 1, 2 having count(distinct text) > 100),
+size as (select host, count(distinct doc_id) as documents from t group by 1),
+often as (select host, line from line join size using (host) group by host, line, documents having count(distinct doc_id) > greatest(5, 0.02 * documents)),
 gone as (select doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as gone from line join often using (host, line) group by 1),
 b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
   (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r, 0)::bigint as n_repeat_words, coalesce(gone, 0)::bigint as removed_words from w left join c using (doc_id) left join gone using (doc_id)),
 f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
-  not base_failed and not (removed_words > 0 and (n_words - removed_words < 5 or n_words - removed_words < 0.1 * n_words)) as kept from f
+  not base_failed and not (removed_words > 0 and (n_words - removed_words < 5 or n_words - removed_words < 0.3 * n_words)) as kept from f
 """

@@ -3,7 +3,8 @@
 Pass one tokenises each text once, writes the ids (16 or 32 bits each) to the shared folder with the task's
 number and the running token count inside that task, and sums each task's tokens. A prefix sum over those totals
 (one row a task) gives every document its place in the whole stream. Pass two cuts at multiples of the sequence
-length; only pieces of windows that no single batch completes travel on, as boundary records.
+length; each piece is the boundary record of its window: document, start, length, sequence and offset. sequences() brings
+the pieces of a window together, for those who want the windows themselves.
 
 Null texts count as empty (just the end id). Repeated rows are documents of their own. An empty table gives no rows.
 Columns besides doc_id and text are ignored. Ties don't arise: every row has a place of its own.

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_rules": url_rules.SQL,
     "op5_topk": topk.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op9_line_rules": line_rules.BASE_SQL,

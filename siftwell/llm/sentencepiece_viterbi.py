@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, read, slices, tidy, worker_path
+from .common import added, flat, mix64, read, slices, tidy, worker_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -73,27 +73,42 @@ class Pieces:
             out[..., i] = h
         return out
 
-    def paths(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For words of one length (rows of code points): each position's best last piece: its place among the keys (-1: none) and length."""
+    def paths(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words of one length (rows of code points): length and place among the keys (-1: none) of each position's best last piece.
+
+        Substrings are probed in strips of starts, CELLS substrings at once, so a word of any length takes memory in proportion.
+        """
         n, size = chars.shape
         wide = min(self.longest, size)
-        # substrings by start: hashes grow to the right, one more character at a time
-        place, score = np.full((n, size, wide), -1, np.int32), np.full((n, size, wide), -np.inf)
-        h = np.zeros((n, size), np.uint64)
-        for k in range(wide):
-            h = mix64((h[:, : size - k] + chars[:, k:] + np.uint64(1)) * self.BASE)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            place[:, : size - k, k] = np.where(hit, at, -1)
-            score[:, : size - k, k] = np.where(hit, self.scores[at], self.least if k == 0 else -np.inf)
-        best, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int32)
+        best, back, chosen = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int32), np.full((n, size + 1), -1, np.int32)
         best[:, 0] = 0
-        for e in range(1, size + 1):
-            lengths = np.arange(min(wide, e), 0, -1)  # longest first: argmax takes the first of equals
-            total = best[:, e - lengths] + score[:, e - lengths, lengths - 1]
-            pick = total.argmax(1)
-            best[:, e], back[:, e] = total[np.arange(n), pick], lengths[pick]
-        return best, back, place
+        rows, strip = np.arange(n), max(wide, CELLS // (n * wide))
+        place, score = np.zeros((n, 0, wide), np.int32), np.zeros((n, 0, wide))
+        for s in range(0, size, strip):
+            stop = min(size, s + strip)
+            new, gain = np.full((n, stop - s, wide), -1, np.int32), np.full((n, stop - s, wide), -np.inf)
+            # substrings by start: hashes grow to the right, one more character at a time
+            h = np.zeros((n, stop - s), np.uint64)
+            for k in range(wide):
+                m = min(stop, size - k) - s
+                if m <= 0:
+                    break
+                h = mix64((h[:, :m] + chars[:, s + k : s + k + m].astype(np.uint64) + np.uint64(1)) * self.BASE)
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[at] == h
+                new[:, :m, k] = np.where(hit, at, -1)
+                gain[:, :m, k] = np.where(hit, self.scores[at], self.least if k == 0 else -np.inf)
+            # pieces that end here may start in the strip before
+            place, score = np.concatenate([place[:, -wide:], new], 1), np.concatenate([score[:, -wide:], gain], 1)
+            first = stop - place.shape[1]
+            for e in range(s + 1, stop + 1):
+                lengths = np.arange(min(wide, e), 0, -1)  # longest first: argmax takes the first of equals
+                at = e - lengths - first
+                total = best[:, e - lengths] + score[:, at, lengths - 1]
+                pick = total.argmax(1)
+                best[:, e], back[:, e] = total[rows, pick], lengths[pick]
+                chosen[:, e] = place[rows, at[pick], lengths[pick] - 1]
+        return back, chosen
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids (unsigned 32-bit, as bytes) of each word."""
@@ -105,12 +120,12 @@ class Pieces:
             step = max(1, CELLS // (size * min(self.longest, size)))
             for s in range(0, len(own), step):
                 some = own[s : s + step]
-                chars = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
-                _, back, place = self.paths(chars)
+                chars = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(-1, size)
+                back, chosen = self.paths(chars)
                 rows, e, found = np.arange(len(some)), np.full(len(some), size), []
                 while len(rows):
                     k = back[rows, e]
-                    at = place[rows, e - k, k - 1]
+                    at = chosen[rows, e]
                     found.append((rows, e, np.where(at >= 0, self.ids[at], -1)))
                     e = e - k
                     rows, e = rows[e > 0], e[e > 0]
@@ -216,7 +231,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") ->
             yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
         tidy()
 
-    return docs.withColumn(column, run("text"))
+    return added(docs, column, run("text"))
 
 
 def decoded(rows: DataFrame, path: str | None = None, column: str = "decoded") -> DataFrame:
@@ -233,7 +248,7 @@ def decoded(rows: DataFrame, path: str | None = None, column: str = "decoded") -
                 out += pieces.decode(np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.array([len(x) // 4 for x in raw]))
             yield pa.array(out, pa.string())
 
-    return rows.withColumn(column, run("pieces"))
+    return added(rows, column, run("pieces"))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ Thresholds are calibrated by language: set-aside texts of each language (guessed
 the logit that best parts the classes, and scores are shifted to put it at `Params.threshold`.
 
 Null and empty texts score what a text without words scores. Repeated rows score alike; columns besides doc_id and text
-are ignored; with no label of both classes every score is 0; an empty table gives no rows.
+stay as they are, and one with the result's name is refused; with no label of both classes every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, flat, in_fold, labelled_sample, read, slices, tidy, words_of, worker_path
+from .common import LOWER, POWERS, Rolling, added, flat, in_fold, labelled_sample, read, slices, tidy, words_of, worker_path
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -140,19 +140,19 @@ def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(p.seed)
-    words, n = [], []
-    for i, j in slices(pa.array(texts, pa.large_string())):
+    aside = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
+    use = np.flatnonzero(~aside)
+    words, n, size = [], [], (1 << p.bits) + 1
+    held = np.zeros((2, size), np.int64)  # texts of each class that hold a bucket
+    for i, j in slices(pa.array(texts, pa.large_string()), 256 << 10):  # small steps: this runs on the driver
         b, row = buckets(*flat(pa.array(texts[i:j], pa.large_string())), p)
         words.append(b)
         n.append(np.bincount(row, minlength=j - i))
+        doc, bucket = np.divmod(np.unique((row[:, None] * size + b)[~aside[i + row]].ravel()), size)
+        for c in (0, 1):
+            held[c] += np.bincount(bucket[y[i + doc] == c], minlength=size)
     words, n = np.concatenate(words), np.concatenate(n)
-    row, at = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
-    aside = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
-    use = np.flatnonzero(~aside)
-    # texts of each class that hold a bucket
-    pairs = np.unique((row[:, None] * ((1 << p.bits) + 1) + words)[~aside[row]].ravel())
-    doc, bucket = np.divmod(pairs, (1 << p.bits) + 1)
-    held = [np.bincount(bucket[y[doc] == c], minlength=(1 << p.bits) + 1) for c in (0, 1)]
+    at = np.concatenate([[0], np.cumsum(n)])
     of = [max(1, int((y[use] == c).sum())) for c in (0, 1)]
     odds = np.log((held[1] + 0.5) / (of[1] + 1)) - np.log((held[0] + 0.5) / (of[0] + 1))
     table = rng.normal(0, 0.02, ((1 << p.bits) + 1, p.dims)).astype(np.float32)
@@ -206,13 +206,15 @@ def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model
             table[rare] = 0
             step += 1
     model = Model(p, table, filters, shift, layer, float(bias))
+    del words
     model.cut = cuts(model, texts, y, np.flatnonzero(aside) if aside.any() and len(set(y[aside])) == 2 else np.arange(len(y)))
     return model
 
 
 def cuts(model: Model, texts: list[str], y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each language the logit between the classes with fewest errors (classes weigh alike); few texts fall back to all."""
-    got = [model.logits(*flat(pa.array([texts[i] for i in at[b : b + 500]], pa.large_string()))) for b in range(0, len(at), 500)]
+    some = pa.array([texts[i] for i in at], pa.large_string())
+    got = [model.logits(*flat(some.slice(i, j - i))) for i, j in slices(some, 256 << 10)]
     x, lang = (np.concatenate(z) for z in zip(*got, strict=True))
     y = y[at]
 
@@ -238,14 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model |
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("__sw_y"))
     ordered = [known.where(F.col("__sw_y") == c).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows) for c in (0, 1)]
     found = labelled_sample(docs, ordered[0].unionAll(ordered[1]), 2 * p.max_rows, p.max_bytes)
-    return train(found["text"].to_pylist(), found["__sw_y"].to_pylist(), p)
+    model = train(found["text"].to_pylist(), found["__sw_y"].to_pylist(), p)
+    POWERS.clear()  # the driver keeps nothing of the training
+    tidy()
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """docs with the score in a further column."""
     worker_path(docs.sparkSession)
     if model is None:
-        return docs.withColumn(column, F.lit(0.0))
+        return added(docs, column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^bits rows, whatever the input
 
     @F.arrow_udf("double")
@@ -255,7 +260,7 @@ def toxicity(docs: DataFrame, model: Model | None, column: str = "score") -> Dat
             yield pa.array(np.concatenate([m.score(*flat(texts.slice(i, j - i))) for i, j in slices(texts)] or [np.zeros(0)]), pa.float64())
         tidy()
 
-    return docs.withColumn(column, run("text"))
+    return added(docs, column, run("text"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

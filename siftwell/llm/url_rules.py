@@ -89,3 +89,23 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
 
 def op3_url_rules(spark, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages"))
+
+
+#: For pages whose HTML holds no canonical link and no refresh: then conventional redirects alone make aliases.
+SQL = r"""
+with h as (select page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r as (select *, case
+    when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'allow example.net/en/'
+    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'block example.com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'allow org/fr/'
+    when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'block net/' end as r,
+  regexp_replace(regexp_replace(host, '^[^@]*@', ''), '\.?(:80|:443)?$', '') as bare from h),
+a as (select *, case when regexp_matches(bare, '^(www|m)\.[^.]+\.') then regexp_replace(bare, '^(www|m)\.', '') else bare end as server,
+  list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=&]*|gclid|fbclid|msclkid|mc_cid|mc_eid|igshid|ref|ref_src)(=|$)'))) as query from r),
+k as (select *, case when server <> '' then server || regexp_replace(path, '(/(index\.(html?|php))?|\.html?)$', '') || '?' || array_to_string(query, '&') end as node from a),
+d as (select node, bool_or(starts_with(r, 'allow')) as allowed from k where r is not null and node is not null group by 1)
+select page_id, host, path, split_part(r, ' ', 2) as rule,
+  case when r is not null then split_part(r, ' ', 1) when not allowed then 'block' else 'allow' end as verdict,
+  case when r is not null then 'rule' when allowed is not null then 'alias' else 'default' end as by
+from k left join d using (node)
+"""

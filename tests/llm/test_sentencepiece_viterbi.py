@@ -75,3 +75,12 @@ def test_query(spark, sf, tmp_path):
     assert all(got[i].round_trip == (V.MARK not in (t or "")) for i, t in enumerate(TEXTS))
     assert all(r.round_trip for r in V.op10_sentencepiece(spark, sf).collect())
     assert V.encoded(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_word_in_strips(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aehinorst") for _ in range(n)) for n in (700, 701, 5000)]
+    want = [brute(t) for t in texts]
+    monkeypatch.setattr(V, "CELLS", 1 << 9)
+    ids, counts = V.Pieces(V.model_path()).encode(*flat(pa.array(texts)))
+    assert split(ids, counts) == want
