@@ -12,11 +12,13 @@ Texts with the same words become one representative. Bands of coordinates make b
 
 1. In the buckets of the first few bands, members come in a pseudo-random order; each is compared by whole signatures with
    the leaders before it, proposes the nearest of them if it may be similar, and leads too unless one is certainly
-   similar: one pair at most for each row and bucket. Large buckets are dealt out in runs, whose leaders meet in larger
-   runs. Proposed pairs are verified by exact weighted Jaccard over the texts; connected components over the verified
-   links are the first classes.
-2. All rows that share a bucket of any band and are in different first classes are compared by whole signatures, leaders
-   or not; every pair of them that may be similar is verified too, and the components over all links are the classes.
+   similar. Large buckets are dealt out in runs, whose leaders meet in larger runs, so the proposals of a bucket make
+   trees. Of each row those of its first and of its last band are verified by exact weighted Jaccard over the texts: the
+   trees of these buckets are whole, and a row has two pairs at most. Connected components over the verified links are
+   the first classes.
+2. All rows that share a bucket of any band and are in different classes are compared by whole signatures, leaders or not.
+   Of each block of rows and pair of classes the most similar pairs are verified, as one link joins them; then again with
+   more pairs while a block had more, until every pair that may be similar has been verified or its ends have one class.
 
 So round one only saves comparisons: no link between rows of one bucket depends on who leads or proposes.
 
@@ -61,6 +63,8 @@ class Params:
     #: Rows of a bucket that one tile of the second round holds: outside the bucket's main class, and streamed past those.
     outside: int = 512
     main: int = 4096
+    #: Pairs that a block of a tile proposes first for two classes; each further pass takes eight times as many.
+    links: int = 4
 
 
 BLANKS = blanks()
@@ -251,15 +255,15 @@ def compared(state: dict, of: tuple[int, int], ids: np.ndarray, marks: np.ndarra
 
 
 def led(members: DataFrame, p: Params) -> DataFrame:
-    """members: bucket, run, doc_id, marks. Gives proposed pairs a, b; and with null b each a that leads, with its bucket."""
+    """members: band, bucket, run, doc_id, marks. Gives proposed pairs a, b; and with null b each a that leads; with band and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, salt, ids = (batch.column(i).to_numpy() for i in range(3))
-            raw = batch.column(3).cast(pa.large_binary())
+            bucket, salt, ids, band = (batch.column(i).to_numpy() for i in range(4))
+            raw = batch.column(4).cast(pa.large_binary())
             begin = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]
             marks = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + len(ids) * p.coordinates].reshape(len(ids), p.coordinates)
             edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])))
@@ -267,22 +271,23 @@ def led(members: DataFrame, p: Params) -> DataFrame:
             for s, e in zip(edge.tolist(), np.append(edge[1:], len(ids)).tolist(), strict=True):
                 row, leader, leads = compared(state, (int(bucket[s]), int(salt[s])), ids[s:e], marks[s:e], p)
                 heads = s + np.flatnonzero(leads)
-                out.append((bucket[np.append(s + row, heads)], ids[np.append(s + row, heads)], np.append(leader, heads * 0), np.append(row * 0, heads * 0 + 1).astype(bool)))
-            bucket, a, b, alone = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b, mask=alone)], names=["bucket", "a", "b"])
+                every = np.append(s + row, heads)
+                out.append((band[every], bucket[every], ids[every], np.append(leader, heads * 0), np.append(row * 0, heads * 0 + 1).astype(bool)))
+            band, bucket, a, b, alone = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(bucket), pa.array(a), pa.array(b, mask=alone)], names=["band", "bucket", "a", "b"])
         tidy()
 
     order = F.xxhash64("bucket", "doc_id")
-    dealt = members.withColumn("__sw_o", order).repartition("bucket", "run").sortWithinPartitions("bucket", "run", "__sw_o").select("bucket", "run", "doc_id", "marks")
-    return dealt.mapInArrow(run, "bucket long, a long, b long")
+    dealt = members.withColumn("__sw_o", order).repartition("bucket", "run").sortWithinPartitions("bucket", "run", "__sw_o").select("bucket", "run", "doc_id", "band", "marks")
+    return dealt.mapInArrow(run, "band int, bucket long, a long, b long")
 
 
 def salted(members: DataFrame, run: int) -> DataFrame:
-    """members (bucket, doc_id) of buckets with two rows at least, with run: buckets of up to `run` rows have one."""
+    """members (band, bucket, doc_id) of buckets with two rows at least, with run: buckets of up to `run` rows have one."""
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     runs = F.ceil(F.col("n") / run)
     # the run depends on the bucket too: rows that part in one bucket meet in another
-    return members.join(size, "bucket").select("bucket", F.pmod(F.xxhash64("doc_id", "bucket", F.lit(run)), runs).alias("run"), "doc_id", (runs > 1).alias("split"))
+    return members.join(size, "bucket").select("band", "bucket", F.pmod(F.xxhash64("doc_id", "bucket", F.lit(run)), runs).alias("run"), "doc_id", (runs > 1).alias("split"))
 
 
 def buckets(heads: DataFrame) -> DataFrame:
@@ -293,28 +298,32 @@ def buckets(heads: DataFrame) -> DataFrame:
 
 
 def proposals(heads: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
-    """heads: doc_id, marks; shared: see buckets(). Gives distinct pairs a, b that may be similar, one a row and bucket at most; written to the shared folder."""
-    members, run, found, held = shared.where(F.col("band") < p.opening).select("bucket", "doc_id"), p.run, [], []
+    """heads: doc_id, marks; shared: see buckets(). Gives distinct pairs a, b that may be similar, two a row at most; written to the shared folder."""
+    members, run, found, held = shared.where(F.col("band") < p.opening).select("band", "bucket", "doc_id"), p.run, [], []
     while True:
         level = materialise(salted(members, run), "runs")
         found.append(materialise(led(level.drop("split").join(heads.select("doc_id", "marks"), "doc_id"), p), "led"))
         # buckets that had several runs: their leaders meet again
         again = level.where("split").select("bucket").distinct()
-        members = materialise(found[-1].where("b is null").select("bucket", F.col("a").alias("doc_id")).join(again, "bucket", "left_semi"), "leaders")
+        members = materialise(found[-1].where("b is null").select("band", "bucket", F.col("a").alias("doc_id")).join(again, "bucket", "left_semi"), "leaders")
         held += [level, members]
         if run >= p.longest or members.isEmpty():
             break
         run *= 8
-    pairs = reduce(DataFrame.unionAll, (x.where("b is not null").select("a", "b") for x in found))
+    pairs = reduce(DataFrame.unionAll, (x.where("b is not null").select("a", "b", "band") for x in found))
+    ends = pairs.groupBy("a").agg(F.min(F.struct("band", "b")).alias("x"), F.max(F.struct("band", "b")).alias("y"))
+    pairs = ends.select("a", F.explode(F.array("x.b", "y.b")).alias("b"))
     out = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     forget(*found, *held)
     return out
 
 
-def across(tiles: DataFrame, p: Params) -> DataFrame:
-    """tiles: bucket, left, right, side, doc_id, component, marks. Gives the pairs a, b of different components that may be similar.
+def across(tiles: DataFrame, p: Params, each: int) -> DataFrame:
+    """tiles: bucket, left, right, side, doc_id, component, marks. Gives pairs a, b of different components that may be similar.
 
-    A tile's rows of side 0 meet those of side 1 and, in the first tile of their run (right = 0), each other.
+    A tile's rows of side 0 meet those of side 1 and, in the first tile of their run (right = 0), each other, in blocks of
+    256 rows. Of each block and two components come the `each` most similar pairs; `more` marks a pair of two components
+    that have further ones there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,20 +353,29 @@ def across(tiles: DataFrame, p: Params) -> DataFrame:
                         if side[s] == 0 and k == len(held) - 1:
                             apart &= np.tri(j - i, k=-1, dtype=bool)
                         x, y = np.nonzero(apart)
-                        for m in range(0, len(x), 1 << 16):
-                            u, v = x[m : m + (1 << 16)], y[m : m + (1 << 16)]
-                            near = (own[2][u] == seen[v]).mean(1) >= p.proposed
-                            if near.any():
-                                a, b = own[0][u[near]], there[v[near]]
-                                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                        if not len(x):
+                            continue
+                        same = (own[2][x] == seen[y]).mean(1)
+                        near = same >= p.proposed
+                        x, y, same = x[near], y[near], same[near]
+                        lo, hi = np.minimum(own[1][x], other[y]), np.maximum(own[1][x], other[y])
+                        order = np.lexsort((-same, hi, lo))
+                        first = np.flatnonzero(np.append(True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))[: len(order)])
+                        n = np.diff(np.append(first, len(order)))
+                        place = np.arange(len(order)) - np.repeat(first, n)
+                        keep = place < each
+                        if keep.any():
+                            a, b = own[0][x[order[keep]]], there[y[order[keep]]]
+                            more = np.repeat(n > each, n)[keep]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(more)], names=["a", "b", "more"])
         tidy()
 
     dealt = tiles.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side").select("bucket", "left", "right", "side", "doc_id", "component", "marks")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
-def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs a, b of rows that share a bucket, are in different components and may be similar; written to the shared folder.
+def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params, most: int) -> DataFrame:
+    """Distinct pairs a, b (with more: see across()) of rows that share a bucket, are in different components and may be similar; written to the shared folder.
 
     shared: bucket, doc_id; label: node, component. Rows outside a bucket's largest component (its main one) meet all of the
     bucket's rows of other components, in tiles of a run of them and a run of the others.
@@ -385,7 +403,8 @@ def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -
     earlier = each(zero, r, lambda k: k, lambda k: rights + r, 1)
     tile = F.when(F.col("component") == F.col("main"), streamed).otherwise(F.concat(first, later, earlier))
     tiles = rows.select("bucket", "doc_id", "component", F.explode(tile).alias("t")).select("bucket", "t.left", "t.right", "t.side", "doc_id", "component")
-    out = materialise(across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p).distinct(), "crossing")
+    found = across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p, most)
+    out = materialise(found.groupBy("a", "b").agg(F.max("more").alias("more")), "crossing")
     forget(members)
     return out
 
@@ -425,18 +444,27 @@ def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     links = verified(docs, pairs, p)
     label = materialise(components(links), "label")
     # what round one kept from a proposal: rows of one bucket that are still apart
-    rest = crossing(signs, shared.select("bucket", "doc_id"), label, p)
-    new = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    forget(shared, pairs, rest, links)
-    links = verified(docs, new, p)
-    if not links.isEmpty():
-        more = materialise(components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "label")
-        forget(label)
-        label = more
+    each, further = p.links, True
+    while further:
+        rest = crossing(signs, shared.select("bucket", "doc_id"), label, p, each)
+        further, each = not rest.where("more").isEmpty(), 8 * each
+        new = materialise(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
+        forget(links)
+        links = verified(docs, new, p)
+        known, gone = pairs.unionAll(new), []
+        if not links.isEmpty():
+            more = materialise(components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "label")
+            gone, label = [label], more
+        if further:
+            known = materialise(known, "pairs")
+            gone.append(pairs)
+            pairs = known
+        forget(rest, new, *gone)
+    forget(shared, pairs, links)
     top = heads.select("w1", "w2", "head").join(label.select(F.col("node").alias("head"), "component"), "head", "left")
     top = materialise(top.select("w1", "w2", F.coalesce("component", "head").alias("class_id")), "classes")
     placed = materialise(words.join(top, ["w1", "w2"]).select("doc_id", "class_id"), "placed")
-    forget(heads, words, new, links, label, top)
+    forget(heads, words, label, top)
     alone = docs.select("doc_id").join(placed, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
     return placed.unionAll(alone)
 
