@@ -16,9 +16,9 @@ Texts with the same words become one representative. Bands of coordinates make b
    trees. Of each row those of its first and of its last band are verified by exact weighted Jaccard over the texts: the
    trees of these buckets are whole, and a row has two pairs at most. Connected components over the verified links are
    the first classes.
-2. All rows that share a bucket of any band and are in different classes are compared by whole signatures, leaders or not.
-   Of each block of rows and pair of classes the most similar pairs are verified, as one link joins them; then again with
-   more pairs while a block had more, until every pair that may be similar has been verified or its ends have one class.
+2. All rows that share a bucket of any band and are in different classes are compared by whole signatures, leaders or not,
+   in tiles that hold their texts: every pair that may be similar is verified on the spot, and a link is handed on for
+   each two classes that have one. Pairs of a text too long for a tile are verified apart.
 
 So round one only saves comparisons: no link between rows of one bucket depends on who leads or proposes.
 
@@ -63,8 +63,8 @@ class Params:
     #: Rows of a bucket that one tile of the second round holds: outside the bucket's main class, and streamed past those.
     outside: int = 512
     main: int = 4096
-    #: Pairs that a block of a tile proposes first for two classes; each further pass takes eight times as many.
-    links: int = 4
+    #: Bytes of the longest text that travels into tiles.
+    longest_text: int = 16 << 10
 
 
 BLANKS = blanks()
@@ -318,12 +318,12 @@ def proposals(heads: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
     return out
 
 
-def across(tiles: DataFrame, p: Params, each: int) -> DataFrame:
-    """tiles: bucket, left, right, side, doc_id, component, marks. Gives pairs a, b of different components that may be similar.
+def across(tiles: DataFrame, p: Params) -> DataFrame:
+    """tiles: bucket, left, right, side, doc_id, component, marks, bands, text (null: too long). Gives pairs a, b of different components and whether they are `sure` links.
 
     A tile's rows of side 0 meet those of side 1 and, in the first tile of their run (right = 0), each other, in blocks of
-    256 rows. Of each block and two components come the `each` most similar pairs; `more` marks a pair of two components
-    that have further ones there.
+    256 rows. Pairs that may be similar are verified in the first bucket that they share: of each block and two components
+    one link comes out. Pairs of texts that are too long come out unverified, all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +335,8 @@ def across(tiles: DataFrame, p: Params, each: int) -> DataFrame:
             raw = batch.column(6).cast(pa.large_binary())
             begin = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]
             marks = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + len(ids) * p.coordinates].reshape(len(ids), p.coordinates)
+            bands = batch.column(7).flatten().to_numpy().reshape(len(ids), p.bands)
+            texts = batch.column(8).cast(pa.large_string())
             keys = np.stack([bucket, left, right, side])
             edge = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
             for s, e in zip(edge.tolist(), np.append(edge[1:], len(ids)).tolist(), strict=True):
@@ -343,39 +345,52 @@ def across(tiles: DataFrame, p: Params, each: int) -> DataFrame:
                     tile, held = now, []
                 for i in range(s, e, 256):
                     j = min(e, i + 256)
-                    own = (ids[i:j], component[i:j], marks[i:j])
+                    own = (ids[i:j], component[i:j], marks[i:j], bands[i:j], texts.slice(i, j - i))
                     if side[s] == 0:
-                        held.append(tuple(x.copy() for x in own))
+                        held.append((*(x.copy() for x in own[:4]), pa.concat_arrays([own[4]])))
                         if now[2]:
                             continue
-                    for k, (there, other, seen) in enumerate(held):
-                        apart = own[1][:, None] != other[None, :]
+                    for k, other in enumerate(held):
+                        apart = own[1][:, None] != other[1][None, :]
                         if side[s] == 0 and k == len(held) - 1:
                             apart &= np.tri(j - i, k=-1, dtype=bool)
                         x, y = np.nonzero(apart)
-                        if not len(x):
-                            continue
-                        same = (own[2][x] == seen[y]).mean(1)
-                        near = same >= p.proposed
-                        x, y, same = x[near], y[near], same[near]
-                        lo, hi = np.minimum(own[1][x], other[y]), np.maximum(own[1][x], other[y])
-                        order = np.lexsort((-same, hi, lo))
-                        first = np.flatnonzero(np.append(True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))[: len(order)])
-                        n = np.diff(np.append(first, len(order)))
-                        place = np.arange(len(order)) - np.repeat(first, n)
-                        keep = place < each
-                        if keep.any():
-                            a, b = own[0][x[order[keep]]], there[y[order[keep]]]
-                            more = np.repeat(n > each, n)[keep]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(more)], names=["a", "b", "more"])
+                        if len(x):
+                            near = (own[2][x] == other[2][y]).mean(1) >= p.proposed
+                            x, y = x[near], y[near]
+                        if len(x):
+                            first = (own[3][x] == other[3][y]).argmax(1)
+                            here = own[3][x, first] == now[0]
+                            x, y = x[here], y[here]
+                        if len(x):
+                            a, b, sure = linked(own, other, x, y, p)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(sure)], names=["a", "b", "sure"])
         tidy()
 
-    dealt = tiles.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side").select("bucket", "left", "right", "side", "doc_id", "component", "marks")
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+    names = ("bucket", "left", "right", "side", "doc_id", "component", "marks", "bands", "text")
+    dealt = tiles.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side").select(*names)
+    return dealt.mapInArrow(run, "a long, b long, sure boolean")
+
+
+def linked(own: tuple, other: tuple, x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs x of own and y of other (ids, components, marks, bands, texts): one verified link of each two components, and what has a text missing."""
+    left, right = own[4].take(pa.array(x)), other[4].take(pa.array(y))
+    known = ~(left.is_null().to_numpy(zero_copy_only=False) | right.is_null().to_numpy(zero_copy_only=False))
+    value = np.zeros(len(x))
+    at = np.flatnonzero(known)
+    left, right = left.take(pa.array(at)), right.take(pa.array(at))
+    if len(at):
+        value[at] = np.concatenate([jaccard(left.slice(i, j - i), right.slice(i, j - i), p) for i, j in slices(left, 1 << 20, 5000)])
+    link = np.flatnonzero(known & (value >= p.similarity))
+    lo, hi = np.minimum(own[1][x[link]], other[1][y[link]]), np.maximum(own[1][x[link]], other[1][y[link]])
+    order = np.lexsort((hi, lo))
+    new = np.append(True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))[: len(order)]
+    keep = np.append(link[order[new]], np.flatnonzero(~known))
+    return own[0][x[keep]], other[0][y[keep]], known[keep]
 
 
-def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params, most: int) -> DataFrame:
-    """Distinct pairs a, b (with more: see across()) of rows that share a bucket, are in different components and may be similar; written to the shared folder.
+def crossing(docs: DataFrame, heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params) -> DataFrame:
+    """Distinct pairs a, b (with sure: see across()) of rows that share a bucket and are in different components; written to the shared folder.
 
     shared: bucket, doc_id; label: node, component. Rows outside a bucket's largest component (its main one) meet all of the
     bucket's rows of other components, in tiles of a run of them and a run of the others.
@@ -385,10 +400,10 @@ def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params, m
     size = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = size.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
     runs = mixed.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / p.outside).alias("lefts"), F.ceil(F.col("main.n") / p.main).alias("rights"))
-    rows = members.join(runs, "bucket")
+    met = materialise(members.join(runs, "bucket"), "mixed")
     # a run of outside rows is the left of a tile with each run of the main component and each later run of outside rows
     run = F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("rights")).otherwise(F.col("lefts")))
-    rows = rows.withColumn("run", run)
+    rows = met.withColumn("run", run)
 
     r, rights, lefts = F.col("run"), F.col("rights"), F.col("lefts")
 
@@ -403,9 +418,14 @@ def crossing(heads: DataFrame, shared: DataFrame, label: DataFrame, p: Params, m
     earlier = each(zero, r, lambda k: k, lambda k: rights + r, 1)
     tile = F.when(F.col("component") == F.col("main"), streamed).otherwise(F.concat(first, later, earlier))
     tiles = rows.select("bucket", "doc_id", "component", F.explode(tile).alias("t")).select("bucket", "t.left", "t.right", "t.side", "doc_id", "component")
-    found = across(tiles.join(heads.select("doc_id", "marks"), "doc_id"), p, most)
-    out = materialise(found.groupBy("a", "b").agg(F.max("more").alias("more")), "crossing")
-    forget(members)
+    # one text an id, and its signature
+    ids = met.select("doc_id").distinct()
+    text = F.when(F.octet_length("text") <= p.longest_text, F.col("text"))
+    texts = docs.select("doc_id", text.alias("text")).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = materialise(texts.join(heads.select("doc_id", "marks", "bands"), "doc_id"), "texts")
+    found = across(tiles.join(texts, "doc_id"), p)
+    out = materialise(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossing")
+    forget(members, met, texts)
     return out
 
 
@@ -429,6 +449,19 @@ def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     return out
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) once links between its components, or rows without one, count too; written to the shared folder."""
+    of = label.select(F.col("node").alias("x"), F.col("component").alias("c"))
+    near = links.join(of.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("c", "a").alias("p"), "b")
+    edges = near.join(of.withColumnRenamed("x", "b"), "b", "left").select(F.col("p").alias("a"), F.coalesce("c", "b").alias("b"))
+    top = materialise(components(edges), "top")
+    moved = label.join(top.select(F.col("node").alias("component"), F.col("component").alias("t")), "component", "left").select("node", F.coalesce("t", "component").alias("component"))
+    fresh = top.join(label.select("node"), "node", "left_anti")
+    out = materialise(moved.unionByName(fresh), "label")
+    forget(top)
+    return out
+
+
 def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class), one row a document."""
     p = p or Params()
@@ -444,23 +477,15 @@ def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     links = verified(docs, pairs, p)
     label = materialise(components(links), "label")
     # what round one kept from a proposal: rows of one bucket that are still apart
-    each, further = p.links, True
-    while further:
-        rest = crossing(signs, shared.select("bucket", "doc_id"), label, p, each)
-        further, each = not rest.where("more").isEmpty(), 8 * each
-        new = materialise(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
-        forget(links)
-        links = verified(docs, new, p)
-        known, gone = pairs.unionAll(new), []
-        if not links.isEmpty():
-            more = materialise(components(links.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "label")
-            gone, label = [label], more
-        if further:
-            known = materialise(known, "pairs")
-            gone.append(pairs)
-            pairs = known
-        forget(rest, new, *gone)
+    rest = crossing(docs, signs, shared.select("bucket", "doc_id"), label, p)
     forget(shared, pairs, links)
+    long = verified(docs, rest.where("not sure").select("a", "b"), p)
+    links = rest.where("sure").select("a", "b").unionAll(long)
+    if not links.isEmpty():
+        more = joined(label, links)
+        forget(label)
+        label = more
+    forget(rest, long)
     top = heads.select("w1", "w2", "head").join(label.select(F.col("node").alias("head"), "component"), "head", "left")
     top = materialise(top.select("w1", "w2", F.coalesce("component", "head").alias("class_id")), "classes")
     placed = materialise(words.join(top, ["w1", "w2"]).select("doc_id", "class_id"), "placed")

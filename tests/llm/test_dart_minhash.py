@@ -83,7 +83,7 @@ def test_classes(spark):
     df = spark.createDataFrame([(i, t, i, "s") for i, t in rows], "doc_id long, text string, class_id long, bands string").repartition(3)
     got = {r.doc_id: r.class_id for r in M.classes(df).collect()}
     assert got == brute(rows)
-    for p in (M.Params(run=8), M.Params(run=8, longest=8, outside=7, main=9)):
+    for p in (M.Params(run=8, longest=8, outside=7, main=9, longest_text=400),):
         assert {r.doc_id: r.class_id for r in M.classes(df, p).collect()} == got
 
 
@@ -122,7 +122,7 @@ def test_base_text_after_copies_that_differ(spark):
         copies.append(" ".join(out))
     assert all(similarity(" ".join(words), c) >= 0.8 for c in copies)
     assert sum(similarity(a, b) >= 0.8 for a, b in zip(copies, copies[1:])) == 0
-    same_as_brute(spark, [*copies, " ".join(words)], M.Params(bands=4, band=1, outside=7, main=7, links=1))  # many tiles a bucket, several passes
+    same_as_brute(spark, [*copies, " ".join(words)], M.Params(bands=4, band=1, outside=7, main=7))  # many tiles a bucket
 
 
 def test_link_between_followers(spark):
