@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.numerics import medians
 from siftwell.schema import Bounds, Columns
+from siftwell.storage import stored
 
 
 def keep(cols: Columns, bounds: Bounds, upper: Column) -> Column:
@@ -72,7 +73,7 @@ def expected_doublets(n: int) -> int | None:
 
 
 def without_doublets(cells: DataFrame, remove: Doublets | None, requested: bool, fail: str = "continue") -> tuple[DataFrame, dict]:
-    """Applies a function that removes doublets. A warning or an error leaves the cells as they were, or is raised with fail='stop'."""
+    """Applies a function that removes doublets from all cells at once (they hold the sample column to work by). A warning or an error leaves the cells as they were, or is raised with fail='stop'."""
     import warnings
 
     if not requested:
@@ -82,7 +83,8 @@ def without_doublets(cells: DataFrame, remove: Doublets | None, requested: bool,
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("error")
-            return remove(cells), {"requested": True, "status": "completed", "error": None}
+            # stored here, so that what fails at run time fails under this guard
+            return stored(remove(cells), "singlets"), {"requested": True, "status": "completed", "error": None}
     except Exception as e:
         if fail == "stop":
             raise

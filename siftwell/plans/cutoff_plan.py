@@ -44,7 +44,7 @@ def sample_groups(cells: DataFrame, cols: Columns, check: bool = True) -> DataFr
 
 def warn_small_groups(samples: DataFrame) -> list[str]:
     """Groups of fewer than two samples, with a warning."""
-    small = [r[0] for r in samples.groupBy("group_id").count().where("count < 2").orderBy("group_id").limit(100).collect()]
+    small = [r[0] for r in samples.groupBy("group_id").count().where("count < 2").orderBy("group_id").collect()]  # one row a group
     if small:
         warnings.warn(f"groups with one sample: {', '.join(small)}", stacklevel=2)
     return small

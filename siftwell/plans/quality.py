@@ -78,7 +78,7 @@ def split_summary(marked: DataFrame, cols: Columns, samples: DataFrame) -> DataF
 
 
 def qc_multi(cells: DataFrame, columns: Columns | None = None, bounds: Bounds | None = None, mode: str = "split", max_mito: float | str = ADAPTIVE, strategy: str = "consensus", fraction: float = 0.5, params: Detection | None = None, changes: dict | None = None, use_recommended: bool = True, doublets: qc.Doublets | None = None, remove_doublets: bool = False, fail: str = "continue", detected: Detected | None = None, check: bool = True) -> Result:
-    """Many samples. Both modes filter alike in one pass; split asks that each sample keeps a cell and treats doublets sample by sample."""
+    """Many samples. Both modes filter alike in one pass; split asks that each sample keeps a cell. Tables count cells before doublets go."""
     cols, bounds = columns or Columns(), bounds or Bounds()
     if mode not in ("all", "split"):
         raise ValueError("mode must be all or split")

@@ -243,11 +243,38 @@ for _adj in SQL_ADJUST:
     O[f"p_adjust_{_adj.lower()}"] = chain(SQL_B, _p, "judged") + " select sample, interval_index, round(p_adj, 9) as p_adj, sig as is_significant from judged"
 
 
-@query("p_adjust_hommel", None)
+# closed testing by Simes: an interval's worst set of m intervals is itself with the m - 1 largest others
+HOMMEL = """,
+ps as (select sample, list(p_value order by p_value, interval_index) as ps from test group by 1),
+r as (select test.sample, interval_index, candidate, row_number() over (partition by test.sample order by p_value, interval_index) as r, ps, len(ps) as n from test join ps using (sample)),
+sets as (select sample, interval_index, candidate, m, case when r > n - m then ps[n - m + 1:n] else list_prepend(ps[r], ps[n - m + 2:n]) end as q from r, lateral (select unnest(range(1, n + 1)) as m)),
+hom as (select sample, interval_index, candidate, least(1, max(list_min(list_transform(q, lambda x, i: m * x / i)))) as p_adj from sets group by 1, 2, 3)
+select sample, interval_index, round(p_adj, 9) as p_adj, candidate and p_adj <= 0.05 as is_significant from hom"""
+
+
+@query("p_adjust_hommel", chain(SQL_C, Detection(p_adjust="hommel"), "tests") + HOMMEL)
 def p_adjust_hommel(spark, sf):
     return losses_of(cells_c, C, Detection(p_adjust="hommel"))(spark, sf).select("sample", "interval_index", R9("p_adj"), "is_significant")
 
 
+@query("p_adjust_none", chain(SQL_B, Detection(p_adjust="none"), "judged") + " select sample, interval_index, round(p_value, 9) as p_adj, sig as is_significant from judged")
+def p_adjust_none(spark, sf):
+    return losses_of(cells_b, B, Detection(p_adjust="none"))(spark, sf).select("sample", "interval_index", R9("p_adj"), "is_significant")
+
+
+# the upper tail as one less the sum of all smaller terms
+@query("poisson_p_value", chain(SQL_B, Detection(loss_test="poisson_tail"), "tests") + """ select sample, interval_index, round(case when L <= 0 then 1.0 else
+  greatest(1 - list_sum(list_transform(range(0, L::bigint), lambda k: exp(k * ln(greatest(mean, 1e-8)) - greatest(mean, 1e-8) - lgamma(k + 1)))), 0) end, 6) as p_value from test""")
+def poisson_p_value(spark, sf):
+    return losses_of(cells_b, B, Detection(loss_test="poisson_tail"))(spark, sf).select("sample", "interval_index", R6("p_value"))
+
+
+@query("loss_alias_columns", chain(SQL_A, DEFAULT, "judged") + """ select sample, interval_index, round(p_adj, 9) as p_adjusted, round(p_adj, 9) as p_fdr, 'BH' as p_adjust_method,
+  round(interval_loss_fraction, 9) as drop_fraction, interval_loss as delta_prev from judged""")
+def loss_alias_columns(spark, sf):
+    return losses_of(cells_a, A, DEFAULT)(spark, sf).select("sample", "interval_index", R9("p_adjusted"), R9("p_fdr"), "p_adjust_method", R9("drop_fraction"), "delta_prev")
+
+
 @query("significant_intervals", chain(SQL_A, DEFAULT, "judged") + " select sample, cutoff, interval_loss, round(p_adj, 9) as p_adj from judged where sig")
 def significant_intervals(spark, sf):
     return losses_of(cells_a, A, DEFAULT)(spark, sf).where("is_significant").select("sample", "cutoff", "interval_loss", R9("p_adj"))
@@ -498,6 +525,46 @@ def manifest_filter(spark, sf):
     return tables.manifest(spark, species=["human"], tissue=["lung"]).select("dataset_id", "role")
 
 
+# features of the species presets, with what each stage should find
+GENES = ["MT-ND1", "mt-Co1", "mt-Nd1", "ATP6", "ND1", "ACTB", "MTOR", "Gapdh", "MT-CYB", "NOTMT-1"]
+
+
+def genes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(g,) for g in GENES], "feature string")
+
+
+@query("mito_preset_human", "select unnest(['MT-ND1', 'MT-CYB']) as feature, 'feature_names' as source")
+def mito_preset_human(spark, sf):
+    return features.mito_features(genes(spark), species="human")
+
+
+@query("mito_preset_mouse", "select unnest(['mt-Co1', 'mt-Nd1', 'MT-ND1', 'MT-CYB']) as feature, 'feature_names' as source")
+def mito_preset_mouse(spark, sf):
+    return features.mito_features(genes(spark), species="mouse")
+
+
+@query("mito_preset_pig", "select unnest(['mt-Co1', 'mt-Nd1', 'MT-ND1', 'MT-CYB', 'ATP6', 'ND1']) as feature, 'feature_names' as source")
+def mito_preset_pig(spark, sf):
+    return features.mito_features(genes(spark), species="pig")
+
+
+@query("cutoff_histogram", chain(SQL_A, DEFAULT, "summary") + " select sample, least(floor(selected * 30) + 1, 30)::bigint as bin, count(*) as n from summ where selected is not null group by 1, 2")
+def cutoff_histogram(spark, sf):
+    return plotdata.cutoff_histogram(detect(cells_a(spark, sf), A, DEFAULT, check=False).summary)
+
+
+@query("parameter_labels", "select '0.02 | 0.05 | 0.01 | mad_zscore | largest_drop' as label")
+def parameter_labels(spark, sf):
+    rows = spark.createDataFrame([(0.02, 0.05, 0.01, "mad_zscore", "largest_drop")], "bin_width double, alpha double, min_drop_fraction double, loss_test string, sample_cutoff_method string")
+    return plotdata.parameter_labels(rows).select("label")
+
+
+@query("ordered_strategies", "select l_returnflag as strategy, l_linestatus as cutoff_strategy, total_cells_after, row_number() over (order by total_cells_after, l_returnflag, l_linestatus)::int as position from (select l_returnflag, l_linestatus, count(*) as total_cells_after from lineitem group by 1, 2)")
+def ordered_strategies(spark, sf):
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("strategy"), F.col("l_linestatus").alias("cutoff_strategy")).agg(F.count("*").alias("total_cells_after"))
+    return plotdata.ordered_strategies(rows.withColumn("ord", F.concat("strategy", "cutoff_strategy")))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Sample cutoffs of view B."""
     return detect(cells_b(spark, sf), B).summary

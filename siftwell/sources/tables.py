@@ -84,7 +84,7 @@ def reference_for(species: str | None = None, tissue: str | None = None, given:
         some = table if species is None else table.where(same("species", species))
         some = some if tissue is None else some.where(same("tissue", tissue) | same("tissue", "global"))
         source = F.col("source_short") if "source_short" in table.columns else F.lit(None).cast("string")
-        rows = [tuple(r) for r in some.select("species", "tissue", "reference_cutoff", source).limit(1000).collect()]
+        rows = [tuple(r) for r in some.select("species", "tissue", "reference_cutoff", source).collect()]  # a table of parameters
     low = lambda x: (x or "").lower()
     fits = [r for r in rows if species is None or low(r[0]) == low(species)]
     exact = [r for r in fits if tissue is None or low(r[1]) == low(tissue)]
