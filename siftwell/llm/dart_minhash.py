@@ -134,7 +134,7 @@ def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: in
     while len(stream):
         inside = rank < limit[row]
         now = tuple(x[inside] for x in (stream, rank, row, width, share))
-        late = tuple(x[~inside] for x in (stream, rank, row, width, share))
+        late = [tuple(x[~inside] for x in (stream, rank, row, width, share))]
         thrown = []
         while len(now[0]):
             s, t, r, w, part = now
@@ -142,7 +142,7 @@ def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: in
             s = mix64(s + GOLD)
             t = t - np.log(unit(s)) / w
             on = t < limit[r]
-            late = tuple(np.concatenate([a, b[~on]]) for a, b in zip(late, (s, t, r, w, part), strict=True))
+            late.append(tuple(x[~on] for x in (s, t, r, w, part)))
             now = tuple(x[on] for x in (s, t, r, w, part))
         if thrown:
             m, t, r, part = (np.concatenate(x) for x in zip(*thrown, strict=True))
@@ -163,7 +163,8 @@ def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: in
         if not short.any():
             break
         limit[short] *= 2
-        stream, rank, row, width, share = (x[short[late[2]]] for x in late)
+        waiting = [np.concatenate(x) for x in zip(*late, strict=True)]
+        stream, rank, row, width, share = (x[short[waiting[2]]] for x in waiting)
     return out
 
 
