@@ -35,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Rolling, blanks, flat, forget, materialise, mix64, powers, read, slices, tidy, words_of, worker_path
@@ -65,6 +65,8 @@ class Params:
     main: int = 4096
     #: Bytes of the longest text that travels into tiles.
     longest_text: int = 16 << 10
+    #: Ids (8 bytes each) that are broadcast to pick texts; beyond it ids and texts meet in a shuffle.
+    broadcast_ids: int = 2_000_000
 
 
 BLANKS = blanks()
@@ -420,22 +422,29 @@ def crossing(docs: DataFrame, heads: DataFrame, shared: DataFrame, label: DataFr
     tile = F.when(F.col("component") == F.col("main"), streamed).otherwise(F.concat(first, later, earlier))
     tiles = rows.select("bucket", "doc_id", "component", F.explode(tile).alias("t")).select("bucket", "t.left", "t.right", "t.side", "doc_id", "component")
     # one text an id, and its signature
-    ids = met.select("doc_id").distinct()
+    ids = materialise(met.select("doc_id").distinct(), "ids")
     text = F.when(F.octet_length("text") <= p.longest_text, F.col("text"))
-    texts = docs.select("doc_id", text.alias("text")).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    texts = materialise(texts.join(heads.select("doc_id", "marks", "bands"), "doc_id"), "texts")
+    texts = materialise(texts_of(docs, ids, text, p).join(heads.select("doc_id", "marks", "bands"), "doc_id"), "texts")
     found = across(tiles.join(texts, "doc_id"), p)
     out = materialise(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossing")
-    forget(members, met, texts)
+    forget(members, met, ids, texts)
     return out
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, text: Column, p: Params) -> DataFrame:
+    """doc_id and text of the rows that ids (doc_id, distinct) names; of repeated ids the greatest text, so that pairs don't double.
+
+    A counted, bounded number of ids is broadcast, so that texts nobody asks for aren't shuffled.
+    """
+    few = ids.count() <= p.broadcast_ids
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """The pairs a, b whose texts have the similarity; pairs is read several times. Written to the shared folder."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    # repeated ids would double pairs: one text an id
-    texts = materialise(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
+    texts = materialise(texts_of(docs, ids, F.col("text"), p), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     @F.arrow_udf("double")
@@ -446,7 +455,7 @@ def verified(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
         tidy()
 
     out = materialise(both.select("a", "b", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= p.similarity).select("a", "b"), "links")
-    forget(texts)
+    forget(ids, texts)
     return out
 
 
