@@ -119,7 +119,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Bases whose powers a worker keeps, up to a slice's length; workers live on from stage to stage.
+#: Bases whose powers a worker keeps within a task, up to a slice's length.
 KEPT_BASES = 2
 
 
@@ -142,6 +142,7 @@ def tidy() -> None:
     """Give freed memory back to the system: a worker that Spark keeps for later stages shall not hold it."""
     import ctypes
 
+    POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

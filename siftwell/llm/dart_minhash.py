@@ -148,6 +148,7 @@ def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: in
             now = tuple(x[on] for x in (s, t, r, w, part))
         if thrown:
             m, t, r, part = (np.concatenate(x) for x in zip(*thrown, strict=True))
+            thrown.clear()
             partial = np.flatnonzero(part < 1)
             beyond = partial[unit(mix64(m[partial] ^ np.uint64(0x8EBC6AF09C88C6E3))) >= part[partial]]
             if len(beyond):

@@ -38,8 +38,10 @@ from .common import Rolling, flat, forget, materialise, read, slices, tidy, work
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of the segments that one block sorts, at least; a gram (or part key) with more is dealt out further.
+#: Bytes of the segments of a gram (or part key) beyond which it is dealt out further.
 BLOCK = 1 << 20
+#: Bytes from which a block takes no further gram.
+FULL = 1 << 19
 
 
 def keys() -> dict:
@@ -207,7 +209,7 @@ def in_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
             bytes_to = np.append(0, np.cumsum(np.diff(binary(batch.column(4))[1])))
             begin = 0  # whole grams up to here have been handed on
             for e in [*np.flatnonzero(np.diff(gram) != 0) + 1, len(gram)]:
-                if size and gram[begin] != last and size >= BLOCK:
+                if size >= FULL and gram[begin] != last:
                     yield done()
                     held, size = [], 0
                 held.append(batch.slice(begin, e - begin))
