@@ -155,6 +155,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, end: int = END, added: bool
                 inside = pa.array([view[s:e] for s, e in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())
                 cols = [batch.column(0).slice(i, 1000).take(pa.array(row)), *map(pa.array, (lo - p[row], hi - lo, crc, m[row], seq, lo - seq * length)), inside]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        tidy()
 
     return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 

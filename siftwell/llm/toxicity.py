@@ -53,6 +53,9 @@ class Params:
     seed: int = 11
 
 
+#: Text bytes handled at once: words and filter responses take some hundred bytes for each.
+STEP_BYTES = 256 << 10
+
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -129,9 +132,13 @@ class Model:
         return np.maximum(best + self.shift, 0) @ self.layer + self.bias, guesses(words, row, rows, p)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x, lang = self.logits(data, at)
-        t = self.params.threshold
-        return 1 / (1 + np.exp(-np.clip(x - self.cut[lang] + np.log(t / (1 - t)), -40, 40)))
+        t, out, i = self.params.threshold, np.zeros(len(at) - 1), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + STEP_BYTES, "right")) - 1)
+            x, lang = self.logits(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            out[i:j] = 1 / (1 + np.exp(-np.clip(x - self.cut[lang] + np.log(t / (1 - t)), -40, 40)))
+            i = j
+        return out
 
 
 def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model | None:
@@ -144,7 +151,7 @@ def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model
     use = np.flatnonzero(~aside)
     words, n, size = [], [], (1 << p.bits) + 1
     held = np.zeros((2, size), np.int64)  # texts of each class that hold a bucket
-    for i, j in slices(pa.array(texts, pa.large_string()), 256 << 10):  # small steps: this runs on the driver
+    for i, j in slices(pa.array(texts, pa.large_string()), STEP_BYTES):
         b, row = buckets(*flat(pa.array(texts[i:j], pa.large_string())), p)
         words.append(b)
         n.append(np.bincount(row, minlength=j - i))
@@ -214,7 +221,7 @@ def train(texts: list[str], labels: list[int], p: Params | None = None) -> Model
 def cuts(model: Model, texts: list[str], y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each language the logit between the classes with fewest errors (classes weigh alike); few texts fall back to all."""
     some = pa.array([texts[i] for i in at], pa.large_string())
-    got = [model.logits(*flat(some.slice(i, j - i))) for i, j in slices(some, 256 << 10)]
+    got = [model.logits(*flat(some.slice(i, j - i))) for i, j in slices(some, STEP_BYTES)]
     x, lang = (np.concatenate(z) for z in zip(*got, strict=True))
     y = y[at]
 

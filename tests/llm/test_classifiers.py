@@ -165,3 +165,21 @@ def test_columns_are_not_overwritten(spark):
         assert f(docs, None, "other").first()["Score"] == "b"
     with pytest.raises(ValueError, match="text"):
         language_id.languages(docs, None, "text")
+
+
+def test_toxicity_scores_in_small_steps(labelled):
+    """A slice of 2 MB at once took over 100 MB."""
+    import tracemalloc
+
+    m = toxicity.train(labelled[0], labelled[3])
+    some = [*labelled[0][:20], ""]
+    texts = some * -(-(2 << 20) // len("".join(some).encode()))
+    each = [m.score(*common.flat(pa.array([t], pa.large_string())))[0] for t in some]
+    data, at = common.flat(pa.array(texts, pa.large_string()))
+    common.POWERS.clear()
+    tracemalloc.start()
+    got = m.score(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, np.tile(each, len(texts) // len(some)), atol=1e-5)
+    assert peak < 80 << 20

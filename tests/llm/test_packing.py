@@ -84,3 +84,14 @@ def test_query_gives_added_token_its_id(spark, tmp_path):
     spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     (row,) = packing.op2_packing(spark, str(tmp_path)).collect()
     assert row.doc_tokens == 4 and row.ids_crc32 == zlib.crc32(np.array([64, 50256, 65, packing.END], "<u4").tobytes())
+
+
+def test_both_passes_give_memory_back(spark, monkeypatch):
+    """Spark keeps workers for later stages, so each pass ends by giving freed memory back."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    ran, kind = [], type(docs)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, g=kind.mapInArrow: ran.append(f) or g(self, f, *a))
+    packing.pieces(docs)
+    calls = []
+    monkeypatch.setattr(packing, "tidy", lambda: calls.append(1))
+    assert list(ran[-1](iter([]))) == [] and calls == [1]
