@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import support
 from siftwell.plans.detection import Detected, detect
-from siftwell.schema import ADAPTIVE, STRATEGIES, Columns, Detection, choice, mito_cutoff, open_unit
-from siftwell.storage import stored
+from siftwell.schema import ADAPTIVE, STRATEGIES, Columns, Detection, check_columns, choice, mito_cutoff, open_unit
+from siftwell.storage import narrowed, stored
 
 
 @dataclass
@@ -59,15 +59,20 @@ def level_cutoff(samples: DataFrame, column: str, strategy: str, fraction: float
     return support.resolved(samples, column, fraction).select(F.col("global_cutoff").alias("c"))
 
 
-def build_plan(cells: DataFrame, columns: Columns | None = None, max_mito: float | str = ADAPTIVE, strategy: str = "consensus", fraction: float = 0.5, params: Detection | None = None, use_recommended: bool = True, cutoff_quantile: float = 0.25, detected: Detected | None = None, groups_of: DataFrame | None = None, check: bool = True) -> Plan:
-    """detected, groups_of: a detection with the same parameters and the samples' groups, if they are at hand already. cutoff_quantile is checked, and unused."""
+def build_plan(cells: DataFrame, columns: Columns | None = None, max_mito: float | str = ADAPTIVE, strategy: str = "consensus", fraction: float = 0.5, params: Detection | None = None, use_recommended: bool = True, cutoff_quantile: float = 0.25, detected: Detected | None = None, groups_of: DataFrame | None = None, check: bool = True, narrow: bool = True) -> Plan:
+    """detected, groups_of: a detection with the same parameters and the samples' groups, if they are at hand already. cutoff_quantile is checked, and unused. narrow: as in detect()."""
     cols = columns or Columns()
     choice(strategy, "cutoff_strategy", STRATEGIES)
     open_unit(fraction, "cutoff_support_fraction")
     open_unit(cutoff_quantile, "cutoff_quantile")
-    base = (groups_of if groups_of is not None else sample_groups(cells, cols, check)).drop("n")
-    if max_mito == ADAPTIVE:
-        detected = detected or detect(cells, cols, params, check=check)
+    adaptive = max_mito == ADAPTIVE
+    if check and adaptive:
+        check_columns(cells, [c for c in (cols.sample, cols.mito, cols.group) if c], [cols.mito])
+    if narrow and adaptive and detected is None:
+        cells = narrowed(cells, cols.sample, cols.mito, cols.group)
+    base = (groups_of if groups_of is not None else stored(sample_groups(cells, cols, check), "groups")).drop("n")  # one row a sample
+    if adaptive:
+        detected = detected or detect(cells, cols, params, check=check, narrow=False)
         # one row a sample: written once, as several steps read it
         rows = stored(base.join(detected.summary.withColumnRenamed("sample", "sample_id"), "sample_id", "left"), "samples")
         if check and rows.where("detected_cutoff is null").limit(1).count():

@@ -1,4 +1,4 @@
-"""Cutoff detection: cells in, profile, interval losses, sample summary and supported cutoffs out; all lazy."""
+"""Cutoff detection: cells in, profile, interval losses, sample summary and supported cutoffs out; these are lazy."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators import cutoffs, losstest, profile, support
-from siftwell.schema import Columns, Detection, check_cells
+from siftwell.schema import Columns, Detection, check_cells, check_columns
 from siftwell.sources.tables import Reference, reference_for
+from siftwell.storage import narrowed
 
 
 @dataclass
@@ -60,9 +61,13 @@ def with_support(rows: DataFrame, p: Detection, by: list[str] = ()) -> tuple[Dat
     return both.withColumns({"supports_final_cutoff": flag("detected_cutoff", "__g"), "supports_recommended_final_cutoff": flag("recommended_cutoff", "__r")}).drop("__g", "__r"), found, advised
 
 
-def detect(cells: DataFrame, columns: Columns | None = None, params: Detection | None = None, reference_table: DataFrame | None = None, check: bool = True) -> Detected:
-    """Cutoffs of all samples. check: one aggregation first, for nulls."""
+def detect(cells: DataFrame, columns: Columns | None = None, params: Detection | None = None, reference_table: DataFrame | None = None, check: bool = True, narrow: bool = True) -> Detected:
+    """Cutoffs of all samples. check: one aggregation first, for nulls. narrow: cells are read several times, so the columns in use are stored; False if they are already."""
     cols, p = columns or Columns(), params or Detection()
+    if check:
+        check_columns(cells, [c for c in (cols.sample, cols.mito, cols.group) if c], [cols.mito])
+    if narrow:
+        cells = narrowed(cells, cols.sample, cols.mito, cols.group if check else None)
     if check:
         check_cells(cells, cols)
     ref = reference_for(p.species, p.tissue, p.reference_cutoff, reference_table)

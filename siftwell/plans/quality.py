@@ -15,6 +15,7 @@ from siftwell.operators import qc
 from siftwell.plans.cutoff_plan import Plan, build_plan, warn_small_groups
 from siftwell.plans.detection import Detected, detect
 from siftwell.schema import ADAPTIVE, Bounds, Columns, Detection, check_columns, mito_cutoff
+from siftwell.storage import narrowed
 
 
 @dataclass
@@ -47,11 +48,12 @@ def qc_one(cells: DataFrame, columns: Columns | None = None, bounds: Bounds | No
     """All cells as one sample. Of params only species, tissue and reference count for an adaptive cutoff."""
     cols, bounds = columns or Columns(), bounds or Bounds()
     check_columns(cells, [cols.n_feature, cols.n_count, cols.mito], [cols.n_feature, cols.n_count, cols.mito])
+    some = narrowed(cells, cols.n_feature, cols.n_count, cols.mito)
     found, source = None, "user_defined"
     if mito_cutoff(max_mito, adaptive=True) == ADAPTIVE:
         p = params or Detection()
         own = Detection(species=p.species, tissue=p.tissue, reference_cutoff=p.reference_cutoff, reference_warning=p.reference_warning)
-        found = detect(cells.withColumn("__one", F.lit("A")), replace(cols, sample="__one", group=None), own, check=check)
+        found = detect(some.withColumn("__one", F.lit("A")), replace(cols, sample="__one", group=None), own, check=check, narrow=False)
         row = found.summary.select("recommended_cutoff", "selected_cutoff").first()
         source = "recommended_cutoff" if use_recommended and row["recommended_cutoff"] is not None else "selected_cutoff"
         upper = row[source]
@@ -63,7 +65,7 @@ def qc_one(cells: DataFrame, columns: Columns | None = None, bounds: Bounds | No
         upper = mito_cutoff(max_mito)
     if bounds.min_mito > upper:
         raise ValueError("min_mito is greater than max_mito")
-    summary = qc.summary(cells, cols, qc.keep(cols, bounds, F.lit(upper)), F.lit(upper))
+    summary = qc.summary(some, cols, qc.keep(cols, bounds, F.lit(upper)), F.lit(upper))
     if check and none_left(summary):
         raise ValueError("no cell passes the filters")
     kept, status = qc.without_doublets(qc.filter_cells(cells, cols, bounds, upper), doublets, remove_doublets, fail)
@@ -83,16 +85,17 @@ def qc_multi(cells: DataFrame, columns: Columns | None = None, bounds: Bounds |
     if mode not in ("all", "split"):
         raise ValueError("mode must be all or split")
     check_columns(cells, [cols.sample, cols.n_feature, cols.n_count, cols.mito], [cols.n_feature, cols.n_count, cols.mito])
-    plan = build_plan(cells, cols, max_mito, strategy, fraction, options(params, changes), use_recommended, detected=detected, check=check)
+    some = narrowed(cells, cols.sample, cols.group, cols.n_feature, cols.n_count, cols.mito)
+    plan = build_plan(some, cols, max_mito, strategy, fraction, options(params, changes), use_recommended, detected=detected, check=check, narrow=False)
     if check and strategy == "groupwise" and cols.group:
         warn_small_groups(plan.samples)
-    joined = qc.with_cutoffs(cells, cols, plan.samples)
-    marked = joined.withColumn("__keep", qc.keep(cols, bounds, F.col("applied_cutoff")))
-    summary = qc.summary(joined, cols, qc.keep(cols, bounds, F.col("applied_cutoff")), F.col("applied_cutoff"))
-    table = split_summary(marked, cols, plan.samples)
+    joined = qc.with_cutoffs(some, cols, plan.samples)
+    keep = qc.keep(cols, bounds, F.col("applied_cutoff"))
+    summary = qc.summary(joined, cols, keep, F.col("applied_cutoff"))
+    table = split_summary(joined.withColumn("__keep", keep), cols, plan.samples)
     if check and (table.where("after_cells = 0").limit(1).count() if mode == "split" else none_left(summary)):
         raise ValueError("a sample has no cell that passes the filters" if mode == "split" else "no cell passes the filters")
-    kept = marked.where("__keep").drop("__keep", "applied_cutoff")
+    kept = qc.with_cutoffs(cells, cols, plan.samples).where(keep).drop("applied_cutoff")
     kept, status = qc.without_doublets(kept, doublets, remove_doublets, fail)
     tables = {"split_summary": table, "all_summary": summary, "cutoff_plan": plan.samples, "group_cutoffs": plan.groups}
     return Result(kept, summary, tables, provenance("qc_multi", mode=mode, strategy=strategy, source=plan.source, level=plan.level, bounds=asdict(bounds), doublets=status, settings=plan.detection.settings() if plan.detection else None), plan, plan.detection)

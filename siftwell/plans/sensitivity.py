@@ -17,7 +17,7 @@ from siftwell.operators import cutoffs, losstest, profile
 from siftwell.plans.detection import with_support
 from siftwell.schema import LOSS_TESTS, SELECTIONS, Columns, Detection, check_cells, choice
 from siftwell.sources.tables import reference_for
-from siftwell.storage import stored
+from siftwell.storage import narrowed, stored
 
 FIRST = ["sample", "parameter_id", "bin_width", "alpha", "min_drop_fraction", "loss_test", "sample_cutoff_method", "detected_cutoff", "cutoff_source", "retained_cells_at_cutoff", "retention_fraction_at_cutoff", "global_cutoff"]
 
@@ -37,6 +37,7 @@ def sweep(cells: DataFrame, columns: Columns | None = None, bin_width: tuple[flo
     if check:
         check_cells(cells, cols)
     spark = cells.sparkSession
+    cells = narrowed(cells, cols.sample, cols.mito)
     ref = reference_for(base.species, base.tissue, base.reference_cutoff)
     some = cells.select(F.col(cols.sample).cast("string").alias("sample"), F.col(cols.mito).alias("m"))
     raw = stored(N.quantile8(some, "sample", "m", base.fallback_quantile), "quantiles") if base.fallback == "quantile" else None  # one row a sample

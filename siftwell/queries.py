@@ -15,6 +15,7 @@ from siftwell.plans import benchmark, cutoff_plan, sensitivity
 from siftwell.plans.detection import detect
 from siftwell.schema import Bounds, Columns, Detection
 from siftwell.sources import tables
+from siftwell.storage import narrowed
 
 BRANDS = ["Brand#1", "Brand#11", "Brand#12"]
 A, B, C = Columns(group="grp"), Columns(), Columns()
@@ -290,7 +291,7 @@ for _name, _rule in RULES.items():
 
 @query("fallback_quantile", f"with {SQL_A} select sample, {sql_snap('q', DEFAULT)} as fallback_cutoff from {sql_quantile8(0.9)}")
 def fallback_quantile(spark, sf):
-    return cutoffs.fallbacks(cells_a(spark, sf), A, DEFAULT)
+    return cutoffs.fallbacks(narrowed(cells_a(spark, sf), A.sample, A.mito), A, DEFAULT)
 
 
 @query("quantile_type8", f"with {SQL_B} select sample, round(q, 9) as q from {sql_quantile8(0.37)}")
@@ -383,7 +384,7 @@ def filter_groupwise(spark, sf):
 @query("qc_summary", f"""with {SQL_A}, s as (select 'before' as Stage, * from cells union all select 'after', * from cells where {KEEP} 0.2)
 select Stage, count(*) as CellCounts, median(nFeature_RNA)::double as GenesCounts_median, median(nCount_RNA)::double as TranscriptCounts_median, round(median(m), 9) as MitoRatio_median, 0.2 as MitoCutoff, (select count(*) from cells) - count(*) as CellsRemoved, round(count(*) / (select count(*) from cells)::double, 4) as RetentionRate from s group by 1""")
 def qc_summary(spark, sf):
-    cells = cells_a(spark, sf)
+    cells = narrowed(cells_a(spark, sf), A.n_feature, A.n_count, A.mito)
     return qc.summary(cells, A, qc.keep(A, LIMITS, F.lit(0.2)), F.lit(0.2)).withColumn("MitoRatio_median", F.round("MitoRatio_median", 9))
 
 

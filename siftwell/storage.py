@@ -1,4 +1,4 @@
-"""Small tables between the steps of a plan, in the folder that driver and executors share."""
+"""Tables between the steps of a plan, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def narrowed(cells: DataFrame, *columns: str | None) -> DataFrame:
+    """The given columns of all cells, stored: cells may be a join of large tables, which every pass would run anew."""
+    return stored(cells.select(*dict.fromkeys(c for c in columns if c)), "cells")
