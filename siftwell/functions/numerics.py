@@ -167,11 +167,12 @@ def type7_median(n: str, p: float = 0.5) -> tuple[str, str, str]:
     return f"cast(floor(({n} + 1) / 2e0) as bigint)", f"cast(floor({n} / 2e0) + 1 as bigint)", "0.5e0"
 
 
-def quantile8(rows: DataFrame, key: str, value: str, p: float, bins: float = 10_000, kind=type8) -> DataFrame:
+def quantile8(rows: DataFrame, key: str, value: str, p: float, bins: float = 10_000, kind=type8, few: bool = False) -> DataFrame:
     """key and q, the exact type-8 quantile (or median) of the key's non-null values.
 
     Two passes: counts by key and bin tell which bins hold the two order statistics; only those bins' distinct values,
     counted, are ranked. A key of any size is one row a bin after partial aggregation, so no task holds a key's rows.
+    few: keys are so few that the chosen bins, two a key at most, are broadcast, and the rows stay where they are.
     """
     some = rows.select(key, F.col(value).cast("double").alias("__v")).where("__v is not null").withColumn("__b", F.floor(F.col("__v") * bins))
     up = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
@@ -180,7 +181,7 @@ def quantile8(rows: DataFrame, key: str, value: str, p: float, bins: float = 10_
     placed = counted.withColumns({"__lo": F.expr(lo), "__hi": F.expr(hi), "__w": F.expr(w), "__before": F.col("__upto") - F.col("__c")})
     holds = " or ".join(f"({r} > __before and {r} <= __upto)" for r in ("__lo", "__hi"))
     chosen = placed.where(holds).select(key, "__b", "__before", "__lo", "__hi", "__w")
-    values = some.join(chosen, [key, "__b"]).groupBy(key, "__b", "__v", "__before", "__lo", "__hi", "__w").agg(F.count("*").alias("__c"))
+    values = some.join(F.broadcast(chosen) if few else chosen, [key, "__b"]).groupBy(key, "__b", "__v", "__before", "__lo", "__hi", "__w").agg(F.count("*").alias("__c"))
     upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(key, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = values.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__c"))
     pick = lambda r: F.max(F.when((F.col(r) > F.col("__from")) & (F.col(r) <= F.col("__upto")), F.col("__v")))
@@ -190,10 +191,10 @@ def quantile8(rows: DataFrame, key: str, value: str, p: float, bins: float = 10_
 
 
 def medians(rows: DataFrame, key: str, values: dict[str, tuple[str, float]]) -> DataFrame:
-    """key and an exact median for each name; values: name -> (column, bins a unit)."""
+    """key and an exact median for each name; values: name -> (column, bins a unit). Keys are few: stages or strategies."""
     out = rows.select(key).distinct()
     for name, (column, bins) in values.items():
-        out = out.join(quantile8(rows, key, column, 0.5, bins, type7_median).withColumnRenamed("q", name), key, "left")
+        out = out.join(quantile8(rows, key, column, 0.5, bins, type7_median, few=True).withColumnRenamed("q", name), key, "left")
     return out
 
 

@@ -13,8 +13,8 @@ from siftwell.operators import clusters, qc
 from siftwell.plans import cutoff_plan
 from siftwell.plans.detection import Detected, detect
 from siftwell.plans.quality import options
-from siftwell.schema import ADAPTIVE, STRATEGIES, Bounds, Columns, Detection, check_cells, choice, mito_cutoff, scalar
-from siftwell.storage import stored
+from siftwell.schema import ADAPTIVE, STRATEGIES, Bounds, Columns, Detection, check_cells, check_columns, choice, mito_cutoff, scalar
+from siftwell.storage import narrowed, stored
 
 WEIGHTS = ("retention", "mito", "sample_balance", "group_balance")
 # Weights of the scoring profiles.
@@ -102,9 +102,9 @@ def strategy_plans(cells: DataFrame, cols: Columns, strategies: list[Strategy],
     for k, s in enumerate(strategies):
         p = options(params, s.changes)
         if s.max_mito == ADAPTIVE and p not in found:
-            found[p] = detect(cells, cols, p, check=False)
+            found[p] = detect(cells, cols, p, check=False, narrow=False)
             found[p].summary = stored(found[p].summary, "summary")  # one row a sample
-        rows = cutoff_plan.build_plan(cells, cols, s.max_mito, s.cutoff_strategy, fraction, p, detected=found.get(p), groups_of=groups, check=check and k == 0).samples
+        rows = cutoff_plan.build_plan(cells, cols, s.max_mito, s.cutoff_strategy, fraction, p, detected=found.get(p), groups_of=groups, check=check and k == 0, narrow=False).samples
         own = s.max_mito == ADAPTIVE
         rows = rows.withColumns({
             "strategy": F.lit(s.name), "ord": F.lit(k), "mode": F.lit(s.mode), "max_mito_input": F.lit(str(s.max_mito)),
@@ -208,10 +208,13 @@ def compare(cells: DataFrame, columns: Columns | None = None, strategies: list[S
     if len(set(names)) < len(names) or not names:
         raise ValueError("strategy names must be unique")
     if check:
-        check_cells(cells, cols)
+        check_columns(cells, [c for c in (cols.sample, cols.mito, cols.group) if c], [cols.mito])
+    some = narrowed(cells, cols.sample, cols.group, cols.n_feature, cols.n_count, cols.mito, cluster)
+    if check:
+        check_cells(some, cols)
     found = profiles(scoring, weights)
-    plans = strategy_plans(cells, cols, strategies, params, fraction, check)
-    rows = marked(cells, cols, bounds, plans)
+    plans = strategy_plans(some, cols, strategies, params, fraction, check)
+    rows = stored(marked(some, cols, bounds, plans), "marked")  # marks are computed once, too
     by_sample = retention(rows, cols.sample, "sample", names)
     by_group = retention(rows, cols.group, "group", names) if cols.group else None
     summary = summarised(rows, cols, plans, names, by_sample, by_group)
@@ -221,7 +224,7 @@ def compare(cells: DataFrame, columns: Columns | None = None, strategies: list[S
         one = scored(summary, w, n)
         every = one if every is None else every.unionByName(one)
     primary = next(iter(found))
-    return Comparison(summary, every.where(F.col("scoring_profile") == primary), every, recommended(every), weights_table(cells.sparkSession, found), by_sample, by_group, plans, rows, primary)
+    return Comparison(summary, every.where(F.col("scoring_profile") == primary), every, recommended(every), weights_table(cells.sparkSession, found), by_sample, by_group, plans, marked(cells, cols, bounds, plans), primary)
 
 
 def downstream(rows: DataFrame, cols: Columns, cluster: str | None, names: list[str], summary: DataFrame) -> DataFrame:

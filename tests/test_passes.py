@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.plans import cutoff_plan
+from siftwell.plans import benchmark, cutoff_plan
 from siftwell.plans.detection import detect
 from siftwell.plans.quality import qc_multi
 from siftwell.schema import Columns
@@ -52,3 +52,18 @@ def test_plan_of_read_cells_is_the_same(spark, counted):
     assert cutoff_plan.build_plan(cells, COLS, narrow=False).samples.collect() == cutoff_plan.build_plan(cells, COLS).samples.collect()
     with pytest.raises(ValueError, match="missing columns"):
         cutoff_plan.build_plan(cells.drop("mitoRatio"), COLS)
+
+
+def test_comparison_reads_cells_once(spark, counted):
+    cells, seen = counted
+    few = [benchmark.Strategy("fixed_20", max_mito=0.2), benchmark.Strategy("adaptive_strictest", cutoff_strategy="strictest")]
+    once = passes(seen, lambda: cells.select("sample", "mitoRatio", "grp").write.format("noop").mode("overwrite").save())
+    found = []
+    assert passes(seen, lambda: found.append(benchmark.compare(cells, COLS, few, check=False))) == once
+    got = found[0]
+    assert passes(seen, lambda: found.append({r.strategy: r for r in got.summary.collect()})) == 0
+    below = sorted(r.mitoRatio for r in cells.collect() if r.mitoRatio <= 0.2)
+    row = found[1]["fixed_20"]
+    assert row.total_cells_after == len(below) and row.median_mito_after == (below[(len(below) - 1) // 2] + below[len(below) // 2]) / 2
+    # the cells handed out keep all their columns
+    assert set(got.kept.columns) == {*cells.columns, "strategies"} and benchmark.strategy_cells(got, "fixed_20").count() == len(below)
