@@ -65,5 +65,8 @@ def test_comparison_reads_cells_once(spark, counted):
     below = sorted(r.mitoRatio for r in cells.collect() if r.mitoRatio <= 0.2)
     row = found[1]["fixed_20"]
     assert row.total_cells_after == len(below) and row.median_mito_after == (below[(len(below) - 1) // 2] + below[len(below) // 2]) / 2
+    rates = []
+    assert passes(seen, lambda: rates.extend(got.sample_retention.collect())) == 0
+    assert len(rates) == 8 and sum(r.after_cells for r in rates if r.strategy == "fixed_20") == len(below) and all(r.before_cells == N / 4 for r in rates)
     # the cells handed out keep all their columns
     assert set(got.kept.columns) == {*cells.columns, "strategies"} and benchmark.strategy_cells(got, "fixed_20").count() == len(below)
